@@ -86,8 +86,18 @@ PAIRS = (
     "ELSE 20 END AS INT) AS sector_score, "
     "CAST(CASE WHEN len(k_sizes) = 0 OR list_contains(k_sizes, f_size) THEN 20 ELSE 0 END AS INT) AS size_score, "
     "CAST(CASE WHEN revenue_max IS NULL OR coalesce(revenue, 0) <= revenue_max THEN 10 ELSE 0 END AS INT) AS revenue_score "
-    "FROM funds c, firms f))"
+    "FROM {pair_source}))"
 )
+STORED = (
+    "stored AS MATERIALIZED (SELECT " + _columns(T.STORED_COLUMNS) + " FROM (SELECT l_partkey, o_custkey, l_linenumber, min(l_shipdate) AS shipped "
+    "FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL))"
+)
+FORMS_IN = "company_forms AS MATERIALIZED (SELECT " + _columns(T.COMPANY_FORM_COLUMNS) + " FROM supplier)"
+UPLOADS = "uploads AS MATERIALIZED (SELECT " + _columns(T.UPLOAD_COLUMNS) + " FROM pages)"
+STORED_PAIRS = PAIRS.replace("SELECT f.*, c.*,", "SELECT f.*, c.*, m.match_id, m.score AS stored_score, m.matched_on,").replace(
+    "{pair_source}", "stored m JOIN funds c ON m.call_id = c.call_id AND c.review_status = 'validato' JOIN firms f ON m.company_id = f.company_id"
+)
+PAIRS = PAIRS.replace("{pair_source}", "funds c, firms f")
 _O = {
     "min_age": "CASE WHEN min_age_months > 0 THEN CASE WHEN f_months IS NULL THEN 'unverifiable' WHEN f_months < min_age_months THEN 'fail' ELSE 'ok' END END",
     "max_age": "CASE WHEN max_age_months > 0 THEN CASE WHEN f_months IS NULL THEN 'unverifiable' WHEN f_months > max_age_months THEN 'fail' ELSE 'ok' END END",
@@ -122,3 +132,61 @@ def with_checks(body: str, where: str = "", extra: str = "") -> str:
 
 def with_calls(body: str) -> str:
     return f"WITH {COMPANIES}, {CALLS}, {SECTIONS}, {FORMS}, {FIRMS}, {FUNDS} {body}"
+
+
+def with_stored(body: str, extra: str = "") -> str:
+    """Stored matches of validated calls, enriched, as ``checks``."""
+    checks = CHECKS.replace("{where}", "")
+    return f"WITH {COMPANIES}, {CALLS}, {SECTIONS}, {FORMS}, {FIRMS}, {FUNDS}, {STORED}, {STORED_PAIRS}, {checks}{extra} {body}"
+
+
+def parse_any(text: str) -> str:
+    arms = " ".join(
+        f"WHEN regexp_full_match(trim({text}), '{shape}') THEN TRY_CAST(try_strptime(trim({text}), '{fmt}') AS DATE)"
+        for shape, fmt in ((r"\d{4}-\d{1,2}-\d{1,2}", "%Y-%m-%d"), (r"\d{1,2}/\d{1,2}/\d{4}", "%d/%m/%Y"), (r"\d{1,2}-\d{1,2}-\d{4}", "%d-%m-%Y"))
+    )
+    return f"(CASE {arms} END)"
+
+
+def days_left(text: str) -> str:
+    return f"CAST({parse_any(text)} - {AS_OF} AS INT)"
+
+
+def urgency(text: str) -> str:
+    d = f"CASE WHEN regexp_full_match(trim({text}), '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN CAST(TRY_CAST(trim({text}) AS DATE) - {AS_OF} AS INT) END"
+    return f"CASE WHEN {d} < 0 THEN 'scaduto' WHEN {d} < 30 THEN 'alta' WHEN {d} < 90 THEN 'media' WHEN {d} >= 90 THEN 'bassa' END"
+
+
+def italian_long(text: str) -> str:
+    months = "[" + ", ".join(f"'{m}'" for m in R.MONTHS) + "]"
+    d = parse_any(text)
+    return (f"CASE WHEN trim({text}) <> '' THEN coalesce(concat(CAST(day({d}) AS VARCHAR), ' ', {months}[month({d})], ' ', CAST(year({d}) AS VARCHAR)) "
+            f"|| CASE WHEN {d} IS NULL THEN NULL ELSE '' END, trim({text})) END")
+
+
+def grouped(x: str) -> str:
+    return f"format('{{:,}}', CAST(round_even({x}, 0) AS BIGINT))"
+
+
+FACES = (
+    "faces AS MATERIALIZED (SELECT call_id, CASE WHEN title <> '' THEN title ELSE concat('Bando #', CAST(call_id AS VARCHAR)) END AS title, issuer, "
+    f"CASE WHEN contribution_max IS NULL THEN 'N/D' ELSE concat('€ ', {grouped('contribution_max')}) END AS contribution_text, contribution_max, "
+    f"coalesce({italian_long('deadline')}, 'N/D') AS deadline_text, {days_left('deadline')} AS days_left, {urgency('deadline')} AS urgency, "
+    "NOT ((len(k_codes) = 0 OR open_to_all) AND (len(k_activities) = 0 OR open_to_all) AND (len(k_regions) = 0 OR list_contains(k_regions, 'tutta italia')) "
+    "AND coalesce(revenue_max, 0) = 0 AND len(k_sizes) NOT BETWEEN 1 AND 3) AS has_constraints, "
+    "has_original, review_status, null_percentage, nullif(trim(source_url), '') AS source_url FROM funds)"
+)
+CARDS = (
+    ", " + FACES + ", grouping AS MATERIALIZED (SELECT call_id, max(call_id) OVER g AS card_id, count(*) OVER g AS copies FROM faces "
+    "WINDOW g AS (PARTITION BY lower(trim(title)), coalesce(lower(trim(issuer)), ''))), "
+    "call_best AS MATERIALIZED (SELECT call_id, max(stored_score) AS raw_best FROM checks GROUP BY 1), "
+    "merged AS MATERIALIZED (SELECT * FROM (SELECT card_id, c.*, row_number() OVER (PARTITION BY card_id, CASE WHEN copies > 1 THEN legal_name ELSE CAST(match_id AS VARCHAR) END "
+    "ORDER BY stored_score DESC, raw_best DESC, call_id DESC, match_id) AS rn FROM checks c JOIN grouping USING (call_id) JOIN call_best USING (call_id)) WHERE rn = 1), "
+    "cards AS MATERIALIZED (SELECT f.*, coalesce(n, 0) AS n_matches, coalesce(ne, 0) AS n_eligible, coalesce(nn, 0) AS n_not_eligible, coalesce(nv, 0) AS n_to_verify, "
+    "coalesce(best, 0) AS max_score, CAST(CASE WHEN review_status = 'validato' THEN coalesce(raw_best, 0) ELSE 0 END AS INT) AS raw_max_score, copies FROM faces f JOIN grouping g ON f.call_id = g.card_id AND g.call_id = g.card_id "
+    "LEFT JOIN (SELECT card_id, count(*) AS n, count(*) FILTER (eligible AND score_status <> 'da_verificare') AS ne, count(*) FILTER (NOT eligible) AS nn, "
+    "count(*) FILTER (score_status = 'da_verificare') AS nv, max(stored_score) FILTER (eligible AND score_status <> 'da_verificare') AS best FROM merged GROUP BY 1) s "
+    "ON s.card_id = f.call_id AND f.review_status = 'validato' LEFT JOIN call_best b ON b.call_id = f.call_id), "
+    "ranked AS MATERIALIZED (SELECT *, CASE WHEN review_status = 'da_revisionare' THEN 'da_verificare' WHEN days_left < 0 THEN 'scaduti' WHEN n_eligible > 0 THEN 'ammissibili' "
+    "WHEN n_to_verify > 0 THEN 'da_verificare' ELSE 'non_ammissibili' END AS category FROM cards)"
+)

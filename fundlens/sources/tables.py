@@ -83,6 +83,8 @@ CALL_COLUMNS = [
                                5: "'pesca e acquacoltura;produzione primaria di prodotti agricoli'", 6: "concat('vendita di ', p_name)"},
                        "'attività immobiliari;discariche e inceneritori;energia nucleare'")),
     ("source_url", f"CASE WHEN {K} % 5 = 0 THEN NULL WHEN {K} % 5 = 1 THEN ' ' ELSE concat('https://bandi.example.com/', CAST({K} AS STRING)) END"),
+    ("regions_json", f"CASE WHEN {K} % 17 = 0 THEN '[non json' WHEN {K} % 4 = 0 THEN CASE WHEN {K} % 8 = 0 THEN NULL ELSE '[]' END "
+                     f"WHEN {K} % 4 = 2 THEN '[\"Tutta Italia\"]' ELSE concat('[\"NATION_', CAST({K} % 25 AS STRING), '\",\"nation_', CAST(({K} + 3) % 25 AS STRING), '\",\"\"]') END"),
     ("created_on", "DATE '2023-01-01' + CAST((13 * p_partkey) % 500 AS INT)"),
     ("has_original", f"({K} % 3 <> 1)"),
 ]
@@ -98,6 +100,37 @@ CALL_LISTS = {
     "bans": "bans_text",
 }
 
+# Stored match results: one per line item's part and customer, with a score of its own that may be stale.
+STORED_COLUMNS = [
+    ("match_id", "(l_partkey * 10000000 + o_custkey) * 10 + l_linenumber"),
+    ("call_id", "l_partkey"),
+    ("company_id", "o_custkey"),
+    ("score", "CAST((l_partkey * 7 + l_linenumber * 13 + o_custkey * 3) % 101 AS INT)"),
+    ("matched_on", "CAST(shipped AS DATE)"),
+]
+
+# Company forms as typed in: padded and blank texts, a zero head count, known and new ids.
+COMPANY_FORM_COLUMNS = [
+    ("company_id", "s_suppkey * 20"),
+    ("legal_name", "concat('  ', s_name, ' ')"),
+    ("vat_number", "CASE s_suppkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN '0123456789' ELSE concat(' ', lpad(CAST(s_suppkey AS STRING), 11, '0'), ' ') END"),
+    ("sector_code", "CASE s_suppkey % 5 WHEN 0 THEN '' WHEN 1 THEN ' 62.01 ' WHEN 2 THEN '62.01.1' WHEN 3 THEN '62' ELSE '62.01.12' END"),
+    ("activity_description", "CASE s_suppkey % 3 WHEN 0 THEN '  ' ELSE ' consulenza ' END"),
+    ("region", "CASE s_suppkey % 4 WHEN 3 THEN ' ' ELSE concat('NATION_', CAST(s_nationkey AS STRING), ' ') END"),
+    ("revenue", "s_acctbal * 10000"),
+    ("size_class", "CASE s_suppkey % 6 WHEN 0 THEN 'micro' WHEN 1 THEN 'piccola' WHEN 2 THEN 'media' WHEN 3 THEN 'grande' WHEN 4 THEN ' Grande ' ELSE NULL END"),
+    ("founded_on", "DATE '2010-01-01' + CAST(s_suppkey % 1000 AS INT)"),
+    ("employees", "CAST(CASE s_suppkey % 5 WHEN 0 THEN 0 ELSE (s_suppkey * 13) % 400 END AS INT)"),
+    ("legal_form", "CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN ' S.r.l. ' WHEN 2 THEN NULL ELSE 'S.p.A.' END"),
+]
+
+# Uploaded files: content and name per call, one per web page.
+UPLOAD_COLUMNS = [
+    ("call_id", "page_id"),
+    ("content_text", "CASE WHEN page_id % 3 = 0 THEN html ELSE concat('%PDF-1.7 ', html) END"),
+    ("file_name", "CASE page_id % 4 WHEN 0 THEN NULL ELSE concat(' file_', CAST(page_id AS STRING), '.pdf ') END"),
+]
+
 # Clauses injected into document texts, so that the evidence operators have something to find.
 _DAY = _iso_day("(11 * doc_id) % 300")
 _DMY = f"concat(substr({_DAY}, 9, 2), '/', substr({_DAY}, 6, 2), '/', substr({_DAY}, 1, 4))"
@@ -254,3 +287,23 @@ def raw_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def call_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").selectExpr("p_partkey", *[f"{e} AS {n}" for n, e in RAW_CALL_COLUMNS])
     return part.selectExpr("call_id", f"{REPLY_EXPR} AS reply")
+
+
+def stored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    pairs = (
+        line.join(orders, line.l_orderkey == orders.o_orderkey)
+        .groupBy("l_partkey", "o_custkey", "l_linenumber")
+        .agg(F.min("l_shipdate").alias("shipped"))
+    )
+    return _select(pairs, STORED_COLUMNS)
+
+
+def company_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _select(table(spark, sf_dir, "supplier"), COMPANY_FORM_COLUMNS)
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = _select(table(spark, sf_dir, "pages"), UPLOAD_COLUMNS)
+    return flat.withColumn("content", F.encode("content_text", "UTF-8")).drop("content_text")
