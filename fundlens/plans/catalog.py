@@ -1,4 +1,4 @@
 """All named queries."""
 
-from . import dashboard_queries, match_queries, upkeep_queries  # noqa: F401
+from . import dashboard_queries, match_queries, normalise_queries, upkeep_queries  # noqa: F401
 from .registry import CHECK_SQL, QUERIES  # noqa: F401
