@@ -19,7 +19,7 @@ def open_record(calls: DataFrame, payload: str = "payload") -> DataFrame:
     inner = V.part(F.col("_v"), "bando")
     record = parsed.withColumn("_b", F.when(V.kind(inner) == "object", inner).otherwise(F.col("_v")))
     return record.select(
-        *calls.columns, *[V.part(F.col("_b"), key).alias(RAW + key) for key in R.RECORD_KEYS]
+        *calls.columns, F.coalesce(V.kind(inner) == "object", F.lit(False)).alias("wrapped"), *[V.part(F.col("_b"), key).alias(RAW + key) for key in R.RECORD_KEYS]
     )
 
 
@@ -96,6 +96,23 @@ def exclusions(value: Column) -> Column:
     return F.when(V.kind(value) == "object", entry)
 
 
+_PYTHON_NAMES = ("number", "float", "boolean", "bool", "list", "list", "object", "dict")
+
+
+def type_errors() -> Column:
+    """Text fields that came as something else (opened record)."""
+    names = F.create_map(*[F.lit(x) for x in _PYTHON_NAMES])
+
+    def one(key: str) -> Column:
+        value = F.col(RAW + key)
+        found = F.when(F.schema_of_variant(value) == "BIGINT", F.lit("int")).otherwise(F.try_element_at(names, V.kind(value)))
+        return F.when(V.kind(value) != "text", F.concat(F.lit(
+            f"Tipo non valido per 'bando.{key}': atteso (<class 'str'>, <class 'NoneType'>), ricevuto "), found))
+
+    return F.array_compact(F.array(*[one(k) for k in (
+        "titolo", "ente", "data_pubblicazione", "data_scadenza", "link_fonte_ufficiale", "url_documento_origine")]))
+
+
 def typed(opened: DataFrame) -> DataFrame:
     """The typed record before its fields are reconciled with each other."""
     raw = lambda key: F.col(RAW + key)
@@ -174,8 +191,27 @@ def reconcile(record: DataFrame) -> DataFrame:
     )
 
 
+def raw_conflicts() -> Column:
+    """Conflicts in the record as it came, which normalisation is about to settle (opened record)."""
+    given = F.filter(
+        F.transform(V.items(F.col("r_agevolazioni")), lambda v: V.text(V.part(v, "tipo"))), lambda t: t.isin(*R.AID_TYPES)
+    )
+    flat = F.array_distinct(F.transform(V.items(F.col("r_tipo_agevolazione")), lambda v: F.to_json(v)))
+    structured = F.array_distinct(F.transform(given, lambda t: F.concat(F.lit('"'), t, F.lit('"'))))
+    differ = (F.size(F.array_except(structured, flat)) > 0) | (F.size(F.array_except(flat, structured)) > 0)
+    grants = F.exists(given, lambda t: t.isin(*R.NON_REPAYABLE))
+    has_amount = F.coalesce(F.schema_of_variant(F.col("r_contributo_max")) != "VOID", F.lit(False))
+    active = F.col("wrapped") & (F.size(structured) > 0)
+    return F.array_compact(F.array(
+        F.when(active & differ, F.lit("Coerenza agevolazioni: tipo_agevolazione è stato riallineato automaticamente ad agevolazioni[].tipo")),
+        F.when(active & ~grants & has_amount, F.lit(
+            "Coerenza agevolazioni: contributo_max conteneva il massimale del prestito ed è stato azzerato automaticamente")),
+    ))
+
+
 def normalise(calls: DataFrame, payload: str = "payload") -> DataFrame:
-    return reconcile(typed(open_record(calls, payload)))
+    opened = open_record(calls, payload)
+    return reconcile(typed(opened.withColumns({"raw_warnings": raw_conflicts(), "type_errors": type_errors()})))
 
 
 def to_calls(record: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
 """All named queries."""
 
-from . import dashboard_queries, match_queries, normalise_queries, upkeep_queries  # noqa: F401
+from . import (  # noqa: F401
+    dashboard_queries, evidence_queries, match_queries, normalise_queries, upkeep_queries, validate_queries,
+)
 from .registry import CHECK_SQL, QUERIES  # noqa: F401

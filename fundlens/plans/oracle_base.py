@@ -190,3 +190,14 @@ CARDS = (
     "ranked AS MATERIALIZED (SELECT *, CASE WHEN review_status = 'da_revisionare' THEN 'da_verificare' WHEN days_left < 0 THEN 'scaduti' WHEN n_eligible > 0 THEN 'ammissibili' "
     "WHEN n_to_verify > 0 THEN 'da_verificare' ELSE 'non_ammissibili' END AS category FROM cards)"
 )
+
+
+def spans(name: str, pattern: str, source: str = "docs", key: str = "doc_id", text: str = "text") -> str:
+    """CTE of all matches: key, pos (1-based number), start and stop (0-based), hit."""
+    regex = "(?i)" + pattern.replace("'", "''")
+    return (
+        f"{name} AS MATERIALIZED (SELECT {key}, pos, CAST(start AS INT) AS start, CAST(start + length(hit) AS INT) AS stop, hit FROM (SELECT {key}, pos, hit, "
+        f"sum(length(gap)) OVER w + coalesce(sum(length(hit)) OVER (PARTITION BY {key} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start "
+        f"FROM (SELECT {key}, generate_subscripts(hits, 1) AS pos, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap FROM (SELECT {key}, regexp_extract_all({text}, '{regex}') AS hits, "
+        f"string_split_regex({text}, '{regex}') AS gaps FROM {source}) WHERE len(hits) > 0) WINDOW w AS (PARTITION BY {key} ORDER BY pos)))"
+    )

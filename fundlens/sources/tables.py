@@ -166,6 +166,12 @@ DOCUMENT_COLUMNS = [
              "CASE WHEN length(text) > 2500 THEN concat(chr(10), " + _MARK.format(n="'3'") + ", substr(text, 2501, length(text))) ELSE '' END)"),
 ]
 
+# Titles under which the documents were submitted.
+DOCUMENT_TITLE = (
+    "CASE doc_id % 9 WHEN 0 THEN 'Bando di concorso per due posti' WHEN 1 THEN 'Selezione pubblica per assunzioni' WHEN 2 THEN 'Graduatoria degli idonei' "
+    "WHEN 3 THEN 'Graduatoria progetti' WHEN 4 THEN concat('Sostegno ', source) WHEN 5 THEN NULL WHEN 6 THEN 'Avviso  Concòrso   Pubblico' ELSE 'Selezione pubblica di progetti' END"
+)
+
 # Raw call records as an extraction service returns them: one JSON text each, with mixed types.
 _Q = "'\"'"
 
