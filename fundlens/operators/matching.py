@@ -14,27 +14,42 @@ from ..functions import refdata as R
 _ANY = "*"
 
 
-def _blocks(df: DataFrame) -> int:
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 1)
+#: Largest measured size of the call side that is broadcast.
+BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+
+
+def _tasks(df: DataFrame) -> int:
+    session = df.sparkSession
+    planned = int(session.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(planned, session.sparkContext.defaultParallelism, 1)
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a frame's rows as JSON text, measured by one aggregation over it."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))
+    return df.agg(size.alias("n")).first()["n"] or 0
 
 
 def meet(calls: DataFrame, companies: DataFrame, blocks: int | None = None) -> DataFrame:
-    """Equi-join on ``call_keys``/``company_keys`` (array<string> columns), salted by company block.
+    """Pairs that share a key: equi-join on ``call_keys``/``company_keys`` (array<string> columns).
 
-    A pair may share at most one key, so no pair repeats. Companies are spread over ``blocks`` salts
-    and each call key is repeated once per salt: a hot key is cut into ``blocks`` pieces, and the
-    free key becomes a grid. No side is hinted for broadcast; the adaptive planner broadcasts one
-    only when its measured size is under the configured limit.
+    A pair may share at most one key, so no pair repeats. The companies are spread evenly by their id,
+    whatever their keys, so a key held by a third of them still runs on all tasks. The calls are
+    broadcast when their measured size allows it. Otherwise every call key is repeated per company
+    block and joined on key and block: the blocks cut hot keys into pieces and make a grid of the
+    free key, and the sort-merge join spills what does not fit. ``blocks`` forces that way.
     """
-    n = blocks or _blocks(calls)
-    left = calls.withColumn("pair_key", F.explode(F.array_distinct("call_keys"))).withColumn(
-        "pair_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    )
-    right = companies.withColumn("pair_block", F.pmod(F.xxhash64("company_id"), F.lit(n)).cast("int")).withColumn(
-        "pair_key", F.explode(F.array_distinct("company_keys"))
-    )
-    joined = left.drop("call_keys").join(right.drop("company_keys"), ["pair_key", "pair_block"])
-    return joined.drop("pair_key", "pair_block")
+    tasks = _tasks(companies)
+    left = calls.withColumn("pair_key", F.explode(F.array_distinct("call_keys"))).drop("call_keys")
+    keyed = F.explode(F.array_distinct("company_keys"))
+    if blocks is None and measured_bytes(calls) <= BROADCAST_LIMIT_BYTES:
+        right = companies.repartition(tasks, "company_id").withColumn("pair_key", keyed).drop("company_keys")
+        return right.join(F.broadcast(left), "pair_key").drop("pair_key")
+    n = blocks or tasks
+    left = left.withColumn("pair_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    block = F.pmod(F.xxhash64("company_id"), F.lit(n)).cast("int")
+    right = companies.withColumns({"pair_block": block, "pair_key": keyed}).drop("company_keys")
+    return left.hint("merge").join(right, ["pair_key", "pair_block"]).drop("pair_key", "pair_block")
 
 
 def _key(*parts: Column) -> Column:
