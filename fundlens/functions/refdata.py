@@ -229,3 +229,75 @@ ADMISSION_MAX_HITS = 10
 
 # Number of cards per page.
 PAGE_SIZE = 9
+
+# Expense labels with the needles that select them, umbrella terms, and the VAT word.
+EXPENSE_RULES = (
+    ("Arredi", ("arred",)),
+    ("Impianti", ("impiant",)),
+    ("Macchinari", ("macchinar",)),
+    ("Attrezzature", ("attrezzatur",)),
+    ("Mezzi targati", ("mezzitargat", "veicol", "automezz")),
+    ("Hardware", ("hardware",)),
+    ("Software", ("software", "licenzeinformatic")),
+    ("Brevetti", ("brevett",)),
+    ("Certificazioni di qualità", ("certificaz", "sistemadiqualita")),
+    ("Realizzazione sito web", ("sitoweb", "sitointernet", "portaleweb")),
+    ("Adeguamento funzionale sede operativa", ("adeguamentofunzional",)),
+    ("Ristrutturazione sede operativa", ("ristrutturazion",)),
+    ("Ricerca e sviluppo", ("ricercaesviluppo",)),
+    ("Consulenze specialistiche", ("consulenz",)),
+    ("Formazione", ("formazion",)),
+    ("Personale", ("costidelpersonale", "spesedipersonale")),
+    ("Imposta di bollo", ("impostadibollo", "bollodovut")),
+    ("Servizi di accompagnamento alla realizzazione", ("servizidiaccompagnamento",)),
+)
+UMBRELLA_EXPENSES = (
+    "investimentimaterialieimmateriali", "altrespeseconnesse", "altrespeseconnesseallarealizzazionedelprogetto",
+)
+
+# Ban labels; a rule applies when every group has a needle in the key.
+BAN_RULES = (
+    ("Gioco d'azzardo", (("giocodazzardo", "casedagioco", "casadagioco"),)),
+    ("Pornografia e commercio sessuale", (("pornograf", "commerciosessual"),)),
+    ("Armi e munizioni", (("armi", "munizion"),)),
+    ("Energia nucleare", (("nuclear",),)),
+    ("Pesca e acquacoltura", (("pesc", "acquacoltur"),)),
+    ("Attività agricole primarie", (("produzioneprimaria",), ("agricol", "prodottiagricoli"))),
+    ("Sviluppo immobiliare speculativo", (("sviluppoimmobiliar",), ("speculat", "unicoscopo", "rivendit", "rilocazion"))),
+    ("Attività di esportazione e reti di distribuzione", (("esportazion", "retedidistribuzion"),)),
+    ("Violazioni dei diritti umani", (("dirittiuman", "dirittiindividual"),)),
+    ("Clonazione e modificazione genetica umana", (("clonazion", "patrimoniogenetico", "embrion"),)),
+    ("Sperimentazione animale", (("animalivivi",), ("sperimental", "scientific"))),
+    ("Combustibili fossili ed estrazione mineraria", (("combustibilifossil", "estrazionemineraria"),)),
+    ("Smaltimento dei rifiuti in discarica", (("discaric",),)),
+    ("Trattamento meccanico-biologico dei rifiuti", (("trattamentomeccanicobiologico", "tmb"),)),
+    ("Incenerimento dei rifiuti", (("inceneritor",),)),
+    ("Infrastrutture aeroportuali", (("infrastruttureaeroportual",),)),
+)
+TOBACCO_LABELS = ("Tabacco (salvo bar tabacchi)", "Tabacco")
+
+# Labels of the sheet.
+MODE_LABELS = (
+    ("sportello", "Sportello (a esaurimento fondi)"), ("click_day", "Click day"),
+    ("graduatoria", "Graduatoria a valutazione"), ("mista", "Mista (sportello + graduatoria)"),
+)
+AID_LABELS = (
+    ("fondo_perduto", "Fondo perduto"), ("finanziamento_agevolato", "Finanziamento agevolato"), ("garanzia", "Garanzia"),
+    ("credito_imposta", "Credito d'imposta"), ("voucher", "Voucher"),
+)
+ROLE_LABELS = (
+    ("promotore", "Promotore"), ("gestore", "Gestore"), ("ente_attuatore", "Ente attuatore"),
+    ("intermediario_finanziario", "Intermediario finanziario"), ("piattaforma", "Piattaforma"), ("altro", "Altro soggetto"),
+)
+SHEET_UNAVAILABLE = "*Scheda non disponibile — dati bando insufficienti.*"
+SHEET_DISCLAIMER = (
+    "*Dati estratti automaticamente tramite AI e potenzialmente incompleti o imprecisi. "
+    "Verificare sempre scadenze, importi e requisiti sulla fonte ufficiale prima di qualsiasi utilizzo.*"
+)
+FALLBACK_PREFIX_PATTERN = r"^(?:spese?|costi?|investimenti?)\s+(?:ammissibili\s+)?(?:per|di|in)\s+"
+
+# IPv4 networks that are not public, as address and prefix length.
+CLOSED_NETWORKS = (
+    ("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24),
+    ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
+)

@@ -106,10 +106,13 @@ def _dates_in(text: Column) -> Column:
 
 def _keywords_in(text: Column) -> Column:
     lowered = F.lower(text)
-    return F.concat(*[
-        F.transform(X.spans(lowered, r"\Q" + word + r"\E"), lambda s, w=weight: F.struct(s["start"].alias("at"), F.lit(w).alias("weight")))
-        for word, weight in R.DEADLINE_KEYWORDS
-    ])
+
+    def places(word: str, weight: int) -> Column:
+        return F.transform(
+            X.spans(lowered, r"\Q" + word + r"\E"), lambda s: F.struct(s["start"].alias("at"), F.lit(weight).alias("weight"))
+        )
+
+    return F.concat(*[places(word, weight) for word, weight in R.DEADLINE_KEYWORDS])
 
 
 def infer_deadline(text: Column, as_of: datetime.date) -> Column:
