@@ -22,8 +22,9 @@ def fallback(value: Column, limit: int = 90) -> Column:
     """Readable form of a description no rule covers."""
     compact = F.btrim(F.regexp_replace(value, r"(?U)\s+", " "), F.lit(" -–—,;."))
     bare = F.regexp_replace(compact, "(?iU)" + R.FALLBACK_PREFIX_PATTERN, "")
-    shown = F.concat(F.upper(F.substring(bare, 1, 1)), F.substring(bare, 2, 1_000_000))
-    return F.when(F.length(shown) <= limit, shown).otherwise(F.concat(F.rtrim(F.substring(shown, 1, limit - 1)), F.lit("…")))
+    shown = L.bind(bare, lambda b: F.concat(F.upper(F.substring(b, 1, 1)), F.substring(b, 2, 1_000_000)))
+    cut = lambda s: F.concat(F.rtrim(F.substring(s, 1, limit - 1)), F.lit("…"))
+    return L.bind(shown, lambda s: F.when(F.length(s) <= limit, s).otherwise(cut(s)))
 
 
 def _non_blank_distinct(labels: Column) -> Column:
@@ -37,14 +38,17 @@ def expense_labels(values: Column) -> Column:
         hits = [F.when(_any(key, needles), F.lit(label)) for label, needles in R.EXPENSE_RULES]
         return F.array_compact(F.array(*hits, F.when(X.matches(value, r"\biva\b"), F.lit("IVA"))))
 
+    none = F.array().cast("array<string>")
+
+    def sorted_out(value: Column, key: Column, hits: Column) -> Column:
+        umbrella = (F.size(hits) == 0) & key.isin(*R.UMBRELLA_EXPENSES)
+        shown = F.when(F.size(hits) > 0, hits).otherwise(F.array(fallback(value)))
+        return L.bind(F.struct(umbrella.alias("u"), shown.alias("s")), lambda r: F.struct(
+            F.when(r["u"], none).otherwise(r["s"]).alias("plain"), F.when(r["u"], r["s"]).otherwise(none).alias("umbrella")))
+
     def per_value(value: Column) -> Column:
         key = X.legal_form_key(F.trim(value))
-        return L.bind(ruled(value, key), lambda hits: F.struct(
-            F.when(F.size(hits) > 0, hits).when(key.isin(*R.UMBRELLA_EXPENSES), F.array().cast("array<string>"))
-            .otherwise(F.array(fallback(value))).alias("plain"),
-            F.when((F.size(hits) == 0) & key.isin(*R.UMBRELLA_EXPENSES), F.array(fallback(value)))
-            .otherwise(F.array().cast("array<string>")).alias("umbrella"),
-        ))
+        return L.bind(key, lambda k: L.bind(ruled(value, k), lambda hits: sorted_out(value, k, hits)))
 
     def choose(rows: Column) -> Column:
         plain = _non_blank_distinct(F.flatten(F.transform(rows, lambda r: r["plain"])))
@@ -57,8 +61,7 @@ def expense_labels(values: Column) -> Column:
 def ban_labels(values: Column) -> Column:
     """Categories of forbidden activities; purely financial or real-estate ones are shown as sectors instead."""
 
-    def per_value(value: Column) -> Column:
-        key = X.legal_form_key(F.trim(value))
+    def judged(value: Column, key: Column) -> Column:
         tobacco = F.when(key.contains("tabacc"), F.when(key.contains("bartabacc"), F.lit(R.TOBACCO_LABELS[0])).otherwise(F.lit(R.TOBACCO_LABELS[1])))
         hits = []
         for label, groups in R.BAN_RULES:
@@ -70,7 +73,8 @@ def ban_labels(values: Column) -> Column:
         return L.bind(F.array_compact(F.array(tobacco, *hits)), lambda found: F.when(
             (F.size(found) > 0) | sector_only, found).otherwise(F.array(fallback(value))))
 
-    return _non_blank_distinct(F.flatten(F.transform(values, per_value)))
+    keyed = lambda value: L.bind(X.legal_form_key(F.trim(value)), lambda key: judged(value, key))
+    return _non_blank_distinct(F.flatten(F.transform(values, keyed)))
 
 
 def excluded_sectors(values: Column) -> Column:
@@ -90,8 +94,7 @@ def excluded_sectors(values: Column) -> Column:
 def legal_form_labels(values: Column) -> Column:
     """Canonical legal forms, each once."""
 
-    def one(value: Column) -> Column:
-        key = X.legal_form_key(value)
+    def one(value: Column, key: Column) -> Column:
         return (
             F.when(key.contains("responsabilitalimitatasemplificata") | key.startswith("srls"), F.lit("S.r.l.s."))
             .when(key.contains("responsabilitalimitata") | key.startswith("srl"), F.lit("S.r.l."))
@@ -103,18 +106,19 @@ def legal_form_labels(values: Column) -> Column:
             .otherwise(value)
         )
 
-    return L.distinct_by(F.transform(values, one), X.legal_form_key)
+    named = F.transform(values, lambda v: L.bind(X.legal_form_key(v), lambda key: one(v, key)))
+    return L.distinct_by(named, X.legal_form_key)
 
 
 def cumulability_label(value: Column) -> Column:
-    text, v = F.trim(value), F.lower(F.trim(value))
-    label = (
+    text = F.trim(value)
+    label = L.bind(F.lower(text), lambda v: (
         F.when(v.contains("limiti di cumulo") & (v.contains("salvo") | v.contains("rispett")), F.lit("Ammessa nel rispetto dei limiti di cumulo applicabili"))
         .when(_any(v, ("non cumulabil", "non è compatibil", "non e compatibil")), F.lit("Non cumulabile sul medesimo investimento"))
         .when(v.contains("non aver beneficiato") & v.contains("medesimo investimento"), F.lit("Non cumulabile sul medesimo investimento, salvo i limiti applicabili"))
         .when(v.contains("de minimis"), F.lit("Soggetta alle regole de minimis"))
         .otherwise(X.shorten(text, 180))
-    )
+    ))
     return F.when(text != "", label)
 
 

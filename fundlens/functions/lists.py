@@ -102,5 +102,8 @@ def merge_entities(entities: Column) -> Column:
         sources = distinct_by(F.flatten(F.transform(group, lambda e: e["fonti"])), source_signature)
         return bind(best, lambda b: F.struct(b["nome"].alias("nome"), b["ruolo"].alias("ruolo"), sources.alias("fonti")))
 
-    keys = F.array_distinct(F.transform(entities, key))
-    return F.transform(keys, lambda k: bind(F.filter(entities, lambda e: key(e) == k), combine))
+    def by_key(all_: Column) -> Column:
+        keys = F.array_distinct(F.transform(all_, key))
+        return F.transform(keys, lambda k: bind(F.filter(all_, lambda e: key(e) == k), combine))
+
+    return bind(entities, by_key)

@@ -343,6 +343,10 @@ def issuer_warning(issuer: Column, sources: Column) -> Column:
 
 def issuer_candidate(issuer: Column, text: Column) -> Column:
     """Best page snippet naming the issuer in a promoting context: struct<score,page,snippet> or null."""
+    return L.bind(issuer_tokens(issuer), lambda expected: _best_snippet(issuer, expected, text))
+
+
+def _best_snippet(issuer: Column, expected: Column, text: Column) -> Column:
     words = F.filter(
         F.regexp_extract_all(issuer, F.lit("([A-Za-zÀ-ÿ0-9]+)"), F.lit(1)),
         lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(*R.ENTITY_STOPWORDS),
@@ -352,7 +356,9 @@ def issuer_candidate(issuer: Column, text: Column) -> Column:
 
     def candidate(segment: Column, i: Column) -> Column:
         def scored(s: Column) -> Column:
-            hits = F.size(F.regexp_extract_all(s["snippet"], F.lit(context), F.lit(0)))
+            return L.bind(F.size(F.regexp_extract_all(s["snippet"], F.lit(context), F.lit(0))), lambda hits: weighed(s, hits))
+
+        def weighed(s: Column, hits: Column) -> Column:
             score = (
                 F.lit(10)
                 + F.when(F.lower(s["snippet"]).contains(F.lower(issuer)), 5).otherwise(0)
@@ -367,13 +373,13 @@ def issuer_candidate(issuer: Column, text: Column) -> Column:
 
         def located(c: Column) -> Column:
             center = F.greatest(F.position(anchor, F.lower(c)) - 1, F.lit(0))
-            covered = F.size(F.array_except(issuer_tokens(issuer), issuer_tokens(c))) == 0
+            covered = F.size(F.array_except(expected, issuer_tokens(c))) == 0
             return F.struct(segment["page"].alias("page"), X.piece(c, center - 320, center + 520).alias("snippet"), ((c != "") & covered).alias("ok"))
 
         return L.bind(L.bind(compact, located), scored)
 
     found = F.array_max(F.array_compact(F.transform(page_segments(text), candidate)))
-    return F.when(F.size(issuer_tokens(issuer)) > 0, found)
+    return F.when(F.size(expected) > 0, found)
 
 
 def repair_issuer_source(rows: DataFrame, text: str) -> DataFrame:

@@ -6,6 +6,8 @@ per-row expression, so the job needs no shuffle.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import lists as L, refdata as R, variants as V
@@ -113,8 +115,9 @@ def type_errors() -> Column:
         "titolo", "ente", "data_pubblicazione", "data_scadenza", "link_fonte_ufficiale", "url_documento_origine")]))
 
 
-def typed(opened: DataFrame) -> DataFrame:
-    """The typed record before its fields are reconciled with each other."""
+@functools.cache
+def typed_columns() -> dict[str, Column]:
+    """The typed record's columns over an opened record. They are many, so they are built once."""
     raw = lambda key: F.col(RAW + key)
     size, age, coverage = raw("dimensione_impresa"), raw("anzianita_impresa"), raw("copertura_estrazione")
     columns: dict[str, Column] = {}
@@ -147,11 +150,16 @@ def typed(opened: DataFrame) -> DataFrame:
         *[V.whole(V.part(coverage, n)).alias(n) for n in ("caratteri_totali", "caratteri_analizzati", "numero_blocchi")],
         V.nullable_boolean(V.part(coverage, "completa")).alias("completa"),
     )
+    return columns
+
+
+def typed(opened: DataFrame) -> DataFrame:
+    """The typed record before its fields are reconciled with each other."""
     keep = [c for c in opened.columns if not c.startswith(RAW)]
     return opened.select(
         *keep,
-        raw("fonti").isNotNull().alias("has_sources"),
-        *[c.alias(name) for name, c in columns.items()],
+        F.col(RAW + "fonti").isNotNull().alias("has_sources"),
+        *[c.alias(name) for name, c in typed_columns().items()],
     )
 
 

@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import dates, labels as T, numbers as N, refdata as R, text as X
+from ..functions import dates, labels as T, lists as L, numbers as N, refdata as R, text as X
 from .profiles import section_letter
 
 
@@ -20,7 +20,7 @@ def _bullets(values: Column) -> Column:
 
 
 def _block(title: str, body: Column) -> Column:
-    return F.when(body != "", F.concat(F.lit(f"{title}\n\n"), body))
+    return L.bind(body, lambda b: F.when(b != "", F.concat(F.lit(f"{title}\n\n"), b)))
 
 
 def _join(sep: str, *parts: Column) -> Column:
@@ -32,15 +32,15 @@ def _non_empty(values: Column) -> Column:
 
 
 def _overview(as_of: datetime.date) -> Column:
-    day, left = dates.italian_long(F.col("data_scadenza")), dates.days_left(F.col("data_scadenza"), as_of)
+    due = F.struct(dates.italian_long(F.col("data_scadenza")).alias("day"), dates.days_left(F.col("data_scadenza"), as_of).alias("left"))
     mode = T.mode_label(F.col("modalita_presentazione"))
-    days = left.cast("string")
-    when = (
-        F.when(left.isNull(), day)
-        .when(left < 0, F.concat(day, F.lit(" — SCADUTO")))
-        .when(left < 30, F.concat(day, F.lit(" — "), days, F.lit(" giorni (urgenza alta)")))
-        .otherwise(F.concat(day, F.lit(" — "), days, F.lit(" giorni")))
-    )
+
+    def told(d: Column) -> Column:
+        soon = F.when(d["left"] < 30, F.lit(" giorni (urgenza alta)")).otherwise(F.lit(" giorni"))
+        rest = F.when(d["left"] < 0, F.lit("SCADUTO")).otherwise(F.concat(d["left"].cast("string"), soon))
+        return F.when(d["left"].isNull(), d["day"]).otherwise(F.concat(d["day"], F.lit(" — "), rest))
+
+    when = L.bind(due, told)
     until_spent = F.when(F.col("modalita_presentazione") == "sportello", F.lit("- **Scadenza:** fino a esaurimento fondi"))
     return _block("## Panoramica", _join(
         "\n", _line("- **Ente promotore:** ", X.blank_to_null(F.col("ente"))),
@@ -122,8 +122,8 @@ def exclusions() -> Column:
     names = F.create_map(*[F.lit(x) for s in R.SECTIONS for x in (s[0], s[3])])
 
     def shown(entry: Column) -> Column:
-        letter = section_letter(entry)
-        return F.coalesce(F.concat(F.lit("Sez. "), letter, F.lit(" – "), F.try_element_at(names, letter)), entry)
+        return L.bind(section_letter(entry), lambda letter: F.coalesce(
+            F.concat(F.lit("Sez. "), letter, F.lit(" – "), F.try_element_at(names, letter)), entry))
 
     bans = note["attivita_vietate"]
     groups = F.array_compact(F.array(
@@ -132,7 +132,8 @@ def exclusions() -> Column:
         _block("### Attività vietate", _bullets(T.ban_labels(bans))),
         *[_block(f"### {title}", _bullets(note[key])) for title, key in (
             ("Soggetti esclusi", "soggetti_esclusi"), ("Spese non ammissibili", "spese_non_ammissibili"), ("Altre esclusioni", "altre_esclusioni"))]))
-    body = F.when(F.size(groups) > 0, F.array_join(groups, "\n\n")).otherwise(_block("### Nota", note["lista_testuale"]))
+    free = _block("### Nota", note["lista_testuale"])
+    body = L.bind(groups, lambda g: F.when(F.size(g) > 0, F.array_join(g, "\n\n")).otherwise(free))
     return F.coalesce(_block("## Esclusioni", F.col("note_text")), _block("## Esclusioni", body))
 
 

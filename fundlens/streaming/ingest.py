@@ -25,26 +25,40 @@ def new_submissions(submissions: DataFrame, delay: str = "7 days") -> DataFrame:
     return calls.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["document_hash"])
 
 
-def process(batch: DataFrame, companies: DataFrame, as_of: datetime.date) -> tuple[DataFrame, DataFrame]:
-    """Validated records of a batch, and the scores of those that need no review."""
+def validated_records(batch: DataFrame, as_of: datetime.date) -> DataFrame:
+    """Validated records of a batch with their review status; erroneous ones keep their errors."""
     record = O.normalise(batch.select("call_id", "payload", "text", "document_hash"))
     checked = V.validate(record, "text", as_of)
-    accepted = checked.filter((F.size("errors") == 0) & E.relevance(F.col("titolo"), F.col("text")).isNull())
-    stored = accepted.withColumn("review_status", F.when(F.col("needs_review"), R.PENDING).otherwise(R.VALIDATED))
-    ready = P.prepare_calls(O.to_calls(stored.filter(F.col("review_status") == R.VALIDATED)))
-    scores = M.score_pairs(ready, P.prepare_companies(companies, as_of)).select("call_id", "company_id", "score")
-    return stored, scores
+    return checked.withColumns(
+        {
+            "late_reason": E.relevance(F.col("titolo"), F.col("text")),
+            "review_status": F.when(F.col("needs_review"), R.PENDING).otherwise(R.VALIDATED),
+        }
+    ).drop("payload", "text")
+
+
+def publishable(records: DataFrame) -> DataFrame:
+    return records.filter((F.size("errors") == 0) & F.col("late_reason").isNull())
+
+
+def scores(records: DataFrame, companies: DataFrame, as_of: datetime.date) -> DataFrame:
+    """Scores of the stored records that need no review."""
+    valid = publishable(records).filter(F.col("review_status") == R.VALIDATED)
+    ready = P.prepare_calls(O.to_calls(valid))
+    return M.score_pairs(ready, P.prepare_companies(companies, as_of)).select("call_id", "company_id", "score")
 
 
 def ingest(submissions: DataFrame, companies: DataFrame, out: str, checkpoint: str, as_of: datetime.date) -> DataStreamWriter:
-    """Writer that stores records and scores per batch. A batch that runs again replaces its own output."""
+    """Writer that stores records and scores per batch. A batch that runs again replaces its own output.
+
+    The records are read back before they are matched, so validation runs once per record and the
+    matching plan starts from a table.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        records, scores = process(batch, companies, as_of)
-        columns = ["call_id", "titolo", "ente", "data_scadenza", "document_hash", "review_status", "null_percentage", "warnings"]
-        records.select(*columns).write.mode("overwrite").parquet(f"{out}/records/batch={batch_id}")
-        scores.write.mode("overwrite").parquet(f"{out}/matches/batch={batch_id}")
-        batch.unpersist()
+        place = f"{out}/records/batch={batch_id}"
+        validated_records(batch, as_of).write.mode("overwrite").parquet(place)
+        stored = batch.sparkSession.read.parquet(place)
+        scores(stored, companies, as_of).write.mode("overwrite").parquet(f"{out}/matches/batch={batch_id}")
 
     return new_submissions(submissions).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)

@@ -1,5 +1,6 @@
 import datetime
 import json
+import tempfile
 
 from pyspark.sql import functions as F
 
@@ -11,11 +12,19 @@ LOAN = "finanziamento_agevolato"
 
 def records(spark, *bodies, wrap=True):
     rows = [(i, json.dumps({"bando": b} if wrap else b)) for i, b in enumerate(bodies)]
-    return normalise.normalise(spark.createDataFrame(rows, "call_id bigint, payload string"))
+    return normalise.normalise(stored(spark, spark.createDataFrame(rows, "call_id bigint, payload string")))
+
+
+def stored(spark, df):
+    """Rows read from files, as in production; literal rows would be folded by the optimizer one by one."""
+    path = tempfile.mkdtemp(prefix="spark-rows-")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def one(spark, body, text):
-    return records(spark, body).withColumn("text", F.lit(text).cast("string"))
+    rows = spark.createDataFrame([(0, json.dumps({"bando": body}), text)], "call_id bigint, payload string, text string")
+    return normalise.normalise(stored(spark, rows))
 
 
 def test_wrapped_and_flat_records_are_the_same(spark):

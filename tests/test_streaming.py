@@ -60,7 +60,7 @@ def test_ingest_stream(spark, sf, tmp_path):
     records = spark.read.parquet(str(tmp_path / "out" / "records"))
     assert records.count() > 0
     assert records.groupBy("document_hash").count().filter("count > 1").isEmpty()
-    valid = records.filter("review_status = 'validato'").select("call_id")
+    valid = ingest.publishable(records).filter("review_status = 'validato'").select("call_id")
     matches = spark.read.parquet(str(tmp_path / "out" / "matches"))
     assert matches.count() == valid.count() * T.companies(spark, sf).count()
     assert matches.join(valid, "call_id", "left_anti").isEmpty()
