@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, kit, mixing, simhash, tokens
+from . import decontaminate, kit, langid, mixing, simhash, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
@@ -27,6 +27,14 @@ def qualities(labels: DataFrame) -> DataFrame:
     return labels.where("quality is not null").select("doc_id", F.when(F.col("quality") == 1, 2.0).otherwise(0.5).alias("weight"))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = kit.scratch_path(spark, "tokens")
     tokens.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path())
@@ -45,4 +53,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"), qualities(table(spark, sf_dir, "labels")))
 
 
-QUERIES |= {f.__name__: f for f in (op7_token_output, op8_simhash_groups, op9_decontamination, op10_mixing)}
+QUERIES |= {f.__name__: f for f in (op1_language_id, op3_toxicity, op7_token_output, op8_simhash_groups, op9_decontamination, op10_mixing)}

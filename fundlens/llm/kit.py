@@ -170,3 +170,13 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> t
         out[at:to] = slice_hashes(prefix_hashes(data[a:b]), starts[at:to] - a, ends[at:to] - a)
         at = to
     return out, counts
+
+
+# -- bounded samples of labelled rows ---------------------------------------------------------------------------
+
+
+def sampled(rows: DataFrame, key: str, group: str, most: int, seed: int) -> DataFrame:
+    """Rows of each group by hash of the key, `most` a group in expectation (all, if it has no more). Same rows each run."""
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    chosen = rows.join(sizes.withColumnRenamed(group, "_g"), F.col(group) == F.col("_g"))
+    return chosen.where(share(F.coalesce(F.col(key).cast("string"), F.lit("")), seed) * F.col("_n") < most).drop("_n", "_g")
