@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, kit, langid, lm, mixing, quality, simhash, tokens, topk, toxicity
+from . import decontaminate, kit, langid, lm, mixing, quality, repeats, simhash, tokens, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
@@ -39,6 +39,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.report(table(spark, sf_dir, "documents"))
 
@@ -65,4 +69,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"), qualities(table(spark, sf_dir, "labels")))
 
 
-QUERIES |= {f.__name__: f for f in (op1_language_id, op2_quality_resampling, op3_toxicity, op5_language_model, op6_exact_top_k, op7_token_output, op8_simhash_groups, op9_decontamination, op10_mixing)}
+QUERIES |= {f.__name__: f for f in (op1_language_id, op2_quality_resampling, op3_toxicity, op4_repeated_strings, op5_language_model, op6_exact_top_k, op7_token_output, op8_simhash_groups, op9_decontamination, op10_mixing)}
