@@ -49,15 +49,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS,
     return rest.select("source", "source_size", target.alias("target"))
 
 
-def keyed(docs: DataFrame, qualities: DataFrame | None, seed: int = 42) -> DataFrame:
-    """docs with _size, _key and _range. qualities: doc_id, weight > 0; other documents weigh 1."""
+def keyed(rows: DataFrame, qualities: DataFrame | None, seed: int = 42) -> DataFrame:
+    """rows (doc_id, _size, any others) with _key and _range. qualities: doc_id, weight > 0; other documents weigh 1."""
     if qualities is None:
-        weighed = docs.withColumn("_weight", F.lit(1.0))
+        weighed = rows.withColumn("_weight", F.lit(1.0))
     else:
         one = qualities.where(F.col("weight") > 0).groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("weight").cast("double")).alias("_weight"))
-        weighed = docs.join(one, docs["doc_id"] == one["_id"], "left").drop("_id").withColumn("_weight", F.coalesce("_weight", F.lit(1.0)))
-    sized = weighed.withColumns({"_size": word_count(F.col("text")), "_key": sampling_key(F.col("doc_id"), F.col("_weight"), seed)})
-    return sized.withColumn("_range", F.least(F.floor((1 - F.exp(-F.col("_key"))) * RANGES), F.lit(RANGES - 1)).cast("int")).drop("_weight")
+        # both sides grow with the corpus: sorted and merged at any size
+        weighed = rows.join(one.hint("merge"), rows["doc_id"] == one["_id"], "left").drop("_id").withColumn("_weight", F.coalesce("_weight", F.lit(1.0)))
+    out = weighed.withColumn("_key", sampling_key(F.col("doc_id"), F.col("_weight"), seed)).drop("_weight")
+    return out.withColumn("_range", F.least(F.floor((1 - F.exp(-F.col("_key"))) * RANGES), F.lit(RANGES - 1)).cast("int"))
 
 
 def plan_mix(rows: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -105,7 +106,7 @@ def mix_plan(docs: DataFrame, qualities: DataFrame | None = None, seed: int = 42
     middle lies within what is left of the target. Ids and the seed decide, so reruns agree; repeated rows of an id are
     taken alike. Only sizes and keys are shuffled, never texts. An empty table gives no rows.
     """
-    rows = kit.stored(keyed(docs.select("doc_id", "text", "source"), qualities, seed).drop("text"), "mix-rows")
+    rows = kit.stored(keyed(docs.select("doc_id", "source", word_count(F.col("text")).alias("_size")), qualities, seed), "mix-rows")
     plan = plan_mix(rows)
     out = rows.join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn("copies", copies())
     return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken"), "copies")
@@ -114,9 +115,8 @@ def mix_plan(docs: DataFrame, qualities: DataFrame | None = None, seed: int = 42
 def mixed(docs: DataFrame, qualities: DataFrame | None = None, seed: int = 42) -> DataFrame:
     """The rows of docs as the mix takes them, repeats included, with the columns of docs."""
     names = docs.columns
-    parts = docs.select(F.col("doc_id"), F.col("text"), F.col("source"), F.struct(*(F.col(f"`{n}`") for n in names)).alias("_row"))
-    rows = keyed(parts.drop("_row"), qualities, seed).drop("text")
-    plan = plan_mix(kit.stored(rows, "mix-rows"))
-    chosen = keyed(parts, qualities, seed).drop("text").join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_n", copies())
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("_size"), F.struct(*(F.col(f"`{n}`") for n in names)).alias("_row"))
+    plan = plan_mix(kit.stored(keyed(sized.drop("_row"), qualities, seed), "mix-rows"))
+    chosen = keyed(sized, qualities, seed).join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_n", copies())
     repeated = chosen.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     return repeated.select(*(F.col("_row").getField(n).alias(n) for n in names))
