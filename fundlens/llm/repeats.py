@@ -75,10 +75,10 @@ class Ranks:
         return pair(double(starts), double(starts + LENGTH - two))
 
 
-def pieces(data: np.ndarray):
+def pieces(data: np.ndarray, size: int):
     """(offset, piece): a text's pieces overlap so that each string of LENGTH bytes is whole in exactly one."""
-    for a in range(0, len(data) - LENGTH + 1, PIECE):
-        yield a, data[a : a + PIECE + LENGTH - 1]
+    for a in range(0, len(data) - LENGTH + 1, size):
+        yield a, data[a : a + size + LENGTH - 1]
 
 
 # -- blocks ---------------------------------------------------------------------------------------------------
@@ -164,7 +164,7 @@ def first_round(table: DataFrame) -> DataFrame:
         for batch in batches:
             for row in _rows(batch):
                 for i, (doc, text) in enumerate(_texts(row)):
-                    for a, piece in pieces(text):
+                    for a, piece in pieces(text, PIECE):
                         r = Ranks(piece)
                         m = len(r.first)
                         held.append((r.name, r.context, np.full(m, _NO_ID if doc is None else doc), np.full(m, row["block"] << ROW_BITS | i), r.first + a))
@@ -245,7 +245,7 @@ def third_round(table: DataFrame, decided: DataFrame) -> DataFrame:
                 spans, strings = [], []
                 for s, e in zip(edges[:-1], edges[1:], strict=True):
                     doc, text = texts[int(ref[s]) & (1 << ROW_BITS) - 1]
-                    for a, piece in pieces(text):
+                    for a, piece in pieces(text, PIECE):
                         lo, hi = s + np.searchsorted(start[s:e], [a, a + PIECE])
                         if lo == hi:
                             continue
