@@ -158,10 +158,8 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tu
     return np.flatnonzero(inside[1:-1] & ~before), np.flatnonzero(inside[1:-1] & ~after) + 1
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash for each word, and the n + 1 word offsets of the texts. Long texts are hashed piece by piece."""
-    starts, ends = word_bounds(data, offsets, member)
-    counts = np.searchsorted(starts, offsets)
+def spans_hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash for each of some ordered spans. Long texts are hashed piece by piece."""
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -169,7 +167,19 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> t
         a, b = starts[at], ends[to - 1]
         out[at:to] = slice_hashes(prefix_hashes(data[a:b]), starts[at:to] - a, ends[at:to] - a)
         at = to
-    return out, counts
+    return out
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash for each word, and the n + 1 word offsets of the texts."""
+    starts, ends = word_bounds(data, offsets, member)
+    return spans_hashed(data, starts, ends), np.searchsorted(starts, offsets)
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, as many as its size, all in one array."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
 # -- bounded samples of labelled rows ---------------------------------------------------------------------------
