@@ -22,7 +22,7 @@ def fallback(value: Column, limit: int = 90) -> Column:
     """Readable form of a description no rule covers."""
     compact = F.btrim(F.regexp_replace(value, r"(?U)\s+", " "), F.lit(" -–—,;."))
     bare = F.regexp_replace(compact, "(?iU)" + R.FALLBACK_PREFIX_PATTERN, "")
-    shown = L.bind(bare, lambda b: F.concat(F.upper(F.substring(b, 1, 1)), F.substring(b, 2, 1_000_000)))
+    shown = L.bind(bare, lambda b: F.concat(F.upper(F.substring(b, 1, 1)), F.substr(b, F.lit(2))))
     cut = lambda s: F.concat(F.rtrim(F.substring(s, 1, limit - 1)), F.lit("…"))
     return L.bind(shown, lambda s: F.when(F.length(s) <= limit, s).otherwise(cut(s)))
 

@@ -20,11 +20,15 @@ def rolling_window(text: Column) -> Column:
     return F.coalesce(X.matches(text, "(?:" + R.ROLLING_WINDOW_PATTERN + ")"), F.lit(False))
 
 
-def relevance(title: Column, text: Column) -> Column:
-    """Reason why a document is a staff selection and no call; null when it may be a call."""
+def relevance(title: Column, text: Column, header_chars: int | None = None) -> Column:
+    """Reason why a document is a staff selection and no call; null when it may be a call.
+
+    The whole text is read; ``header_chars`` limits the check to that many characters at its start
+    (``refdata.RELEVANCE_HEADER_CHARS`` is the customary limit).
+    """
     head = lambda t: F.lower(X.squash(X.fold_accents(F.coalesce(t, F.lit("")))))
     t = head(title)
-    h = head(F.substring(text, 1, R.RELEVANCE_HEADER_CHARS))
+    h = head(text if header_chars is None else F.substring(text, 1, header_chars))
     has = lambda where, pattern: where.rlike("(?U)" + pattern)
     selection = (has(t, R.SELECTION_PATTERN) & has(t, R.PERSONNEL_PATTERN)) | (
         has(t, r"\bgraduatoria\b") & has(t, R.RANKING_PATTERN)
@@ -49,7 +53,7 @@ def page_marks(text: Column) -> Column:
         X.spans(text, R.PAGE_MARKER_PATTERN),
         lambda s: F.struct(
             s["start"].alias("start"), s["stop"].alias("stop"),
-            F.regexp_extract(s["hit"], r"(\d+)", 1).cast("int").alias("page"),
+            F.regexp_extract(s["hit"], r"(\d+)", 1).try_cast("int").alias("page"),
         ),
     )
 

@@ -34,22 +34,26 @@ def meet(calls: DataFrame, companies: DataFrame, blocks: int | None = None) -> D
     """Pairs that share a key: equi-join on ``call_keys``/``company_keys`` (array<string> columns).
 
     A pair may share at most one key, so no pair repeats. The companies are spread evenly by their id,
-    whatever their keys, so a key held by a third of them still runs on all tasks. The calls are
-    broadcast when their measured size allows it. Otherwise every call key is repeated per company
-    block and joined on key and block: the blocks cut hot keys into pieces and make a grid of the
-    free key, and the sort-merge join spills what does not fit. ``blocks`` forces that way.
+    whatever their keys, so a key held by a third of them still runs on all tasks. The calls, one row
+    per key, are broadcast when the measured size of those rows allows it. Otherwise both sides are cut
+    into blocks by id, about the square root of ``blocks`` each, and joined on key and both blocks: hot
+    keys and the free key become a grid, each side is repeated once per block of the other only, and
+    the sort-merge join spills what does not fit. ``blocks`` forces that way.
     """
     tasks = _tasks(companies)
     left = calls.withColumn("pair_key", F.explode(F.array_distinct("call_keys"))).drop("call_keys")
     keyed = F.explode(F.array_distinct("company_keys"))
-    if blocks is None and measured_bytes(calls) <= BROADCAST_LIMIT_BYTES:
+    if blocks is None and measured_bytes(left) <= BROADCAST_LIMIT_BYTES:
         right = companies.repartition(tasks, "company_id").withColumn("pair_key", keyed).drop("company_keys")
         return right.join(F.broadcast(left), "pair_key").drop("pair_key")
     n = blocks or tasks
-    left = left.withColumn("pair_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    block = F.pmod(F.xxhash64("company_id"), F.lit(n)).cast("int")
-    right = companies.withColumns({"pair_block": block, "pair_key": keyed}).drop("company_keys")
-    return left.hint("merge").join(right, ["pair_key", "pair_block"]).drop("pair_key", "pair_block")
+    down = max(1, round(n**0.5))
+    across = -(-n // down)
+    call_block, company_block = F.pmod(F.xxhash64("call_id"), F.lit(down)), F.pmod(F.xxhash64("company_id"), F.lit(across))
+    left = left.withColumns({"pair_row": call_block.cast("int"), "pair_column": F.explode(F.sequence(F.lit(0), F.lit(across - 1)))})
+    right = companies.withColumns({"pair_key": keyed, "pair_column": company_block.cast("int")}).drop("company_keys")
+    right = right.withColumn("pair_row", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    return left.hint("merge").join(right, ["pair_key", "pair_row", "pair_column"]).drop("pair_key", "pair_row", "pair_column")
 
 
 def _key(*parts: Column) -> Column:

@@ -244,8 +244,8 @@ def to_calls(record: DataFrame) -> DataFrame:
         F.col("forme_giuridiche_ammesse").alias("legal_forms"),
         F.col("anzianita_impresa")["mesi_minimi_dalla_costituzione"].alias("min_age_months"),
         F.col("anzianita_impresa")["mesi_massimi_dalla_costituzione"].alias("max_age_months"),
-        F.col("numero_dipendenti_min").cast("int").alias("employees_min"),
-        F.col("numero_dipendenti_max").cast("int").alias("employees_max"),
+        F.col("numero_dipendenti_min").try_cast("int").alias("employees_min"),
+        F.col("numero_dipendenti_max").try_cast("int").alias("employees_max"),
     )
 
 

@@ -17,7 +17,7 @@ def sector_prefix(code: Column) -> Column:
 
 def division(code: Column) -> Column:
     prefix = sector_prefix(code)
-    return F.when(prefix.rlike(r"^\d+$"), prefix.cast("int"))
+    return F.when(prefix.rlike(r"^\d+$"), prefix.try_cast("int"))
 
 
 def section_of_division(number: Column) -> Column:
@@ -62,8 +62,8 @@ def prepare_companies(companies: DataFrame, as_of: datetime.date) -> DataFrame:
             "f_section": section_of_division(division(code)),
             "f_tokens": X.word_tokens(description, 4),
             "f_size": F.lower(X.blank_to_null(F.col("size_class"))),
-            "f_revenue": F.col("revenue").cast("double"),
-            "f_employees": F.col("employees").cast("int"),
+            "f_revenue": F.col("revenue").try_cast("double"),
+            "f_employees": F.col("employees").try_cast("int"),
             "f_months": dates.months_since(F.col("founded_on"), as_of),
             "f_form": form_key,
             "f_category": legal_category(form_key),
@@ -94,7 +94,7 @@ def prepare_calls(calls: DataFrame) -> DataFrame:
                 F.filter(F.transform(excluded, section_letter), lambda letter: letter.isNotNull())
             ),
             "k_sizes": F.array_distinct(F.transform(sizes, lambda s: F.lower(s))),
-            "k_cap": F.col("revenue_max").cast("double"),
+            "k_cap": F.col("revenue_max").try_cast("double"),
             "k_forms": F.array_distinct(forms),
             "k_registry": F.exists(forms, lambda f: f.contains(R.REGISTRY_MARKER)),
             "k_categories": F.array_distinct(F.filter(categories, lambda c: c.isNotNull())),

@@ -33,7 +33,7 @@ _NORM = "lower(trim(regexp_replace(strip_accents(coalesce({x}, '')), '\\s+', ' '
 @query("doc_relevance", f"{_DOCS} SELECT doc_id, CASE WHEN {_m('t', R.TITLE_COMPETITION_PATTERN)} THEN 'Il documento è un concorso pubblico per il reclutamento di personale.' "
        f"WHEN ({_m('t', R.SELECTION_PATTERN)} AND {_m('t', R.PERSONNEL_PATTERN)}) OR (regexp_matches(t, '\\bgraduatoria\\b') AND {_m('t', R.RANKING_PATTERN)}) THEN 'Il documento riguarda una selezione o graduatoria per personale.' "
        f"WHEN (regexp_matches(h, '\\bconcorso pubblico\\b') AND {_m('h', R.PERSONNEL_PATTERN)}) OR ({_m('h', R.SELECTION_PATTERN)} AND {_m('h', R.RECRUITMENT_PATTERN)}) OR (regexp_matches(h, '\\bgraduatoria\\b') AND {_m('h', R.RANKING_PATTERN)}) "
-       f"THEN 'Il documento riguarda un concorso o una selezione di personale.' END AS reason FROM (SELECT doc_id, {_NORM.format(x=T.DOCUMENT_TITLE)} AS t, {_NORM.format(x='substr(text, 1, 3000)')} AS h FROM docs)")
+       f"THEN 'Il documento riguarda un concorso o una selezione di personale.' END AS reason FROM (SELECT doc_id, {_NORM.format(x=T.DOCUMENT_TITLE)} AS t, {_NORM.format(x='text')} AS h FROM docs)")
 def doc_relevance(spark, sf):
     docs = T.documents(spark, sf).withColumn("title", F.expr(T.DOCUMENT_TITLE))
     return docs.select("doc_id", E.relevance(F.col("title"), F.col("text")).alias("reason"))
@@ -217,10 +217,10 @@ def sanitise_delims(spark, sf):
     return T.documents(spark, sf).select("doc_id", E.neutralise_delimiters(F.col("text")).alias("text"))
 
 
-@query("truncate_flag", f"{_DOCS} SELECT doc_id, CAST(length(substr(text, 1, 20000)) AS INT) AS chars, length(text) > 20000 AS truncated, md5(substr(text, 1, 20000)) AS digest FROM docs")
+@query("truncate_flag", f"{_DOCS} SELECT doc_id, CAST(length(substr(text, 1, {R.MAX_TEXT_CHARS})) AS INT) AS chars, length(text) > {R.MAX_TEXT_CHARS} AS truncated, md5(substr(text, 1, {R.MAX_TEXT_CHARS})) AS digest FROM docs")
 def truncate_flag(spark, sf):
     """Texts cut to a limit, with a flag; the limit is an argument of the operator."""
-    return truncate(T.documents(spark, sf), 20000).select("doc_id", F.length("cut").alias("chars"), "truncated", F.md5("cut").alias("digest"))
+    return truncate(T.documents(spark, sf)).select("doc_id", F.length("cut").alias("chars"), "truncated", F.md5("cut").alias("digest"))
 
 
 def truncate(docs, limit: int = R.MAX_TEXT_CHARS):

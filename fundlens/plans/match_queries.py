@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import DEFAULT_AS_OF as AS_OF
 from ..functions import text as X
-from ..operators import eligibility as E, matching as M, profiles as P
+from ..operators import cards as C, eligibility as E, matching as M, profiles as P
 from ..sources import tables as T
 from . import oracle_base as B
 from .registry import query
@@ -34,10 +34,15 @@ def match_threshold(spark, sf):
     return pairs(spark, sf, 75).select("call_id", "company_id", "score")
 
 
-@query("score_breakdown", B.with_pairs(
-    "SELECT call_id, company_id, region_score, sector_score, size_score, revenue_score, score, score_status FROM pairs WHERE score >= 80"))
+def stored(spark, sf) -> DataFrame:
+    """All stored matches of validated calls, with parts, status and eligibility."""
+    return C.enrich(T.stored_matches(spark, sf), funds(spark, sf), firms(spark, sf))
+
+
+@query("score_breakdown", B.with_stored(
+    "SELECT match_id, call_id, company_id, region_score, sector_score, size_score, revenue_score, score, score_status FROM checks"))
 def score_breakdown(spark, sf):
-    return pairs(spark, sf, 80).select("call_id", "company_id", *M.PARTS, "score", "score_status")
+    return stored(spark, sf).select("match_id", "call_id", "company_id", *M.PARTS, "score", "score_status")
 
 
 def _distribution(part: str) -> str:
@@ -132,15 +137,15 @@ def _nd(x: str) -> str:
     return f"coalesce(nullif(trim({x}), ''), 'N/D')"
 
 
-@query("score_explanation", B.with_pairs(
-    "SELECT call_id, company_id, concat("
+@query("score_explanation", B.with_stored(
+    "SELECT match_id, call_id, company_id, concat("
     f"CASE WHEN k_free THEN '✅ Regione: nessun vincolo' WHEN region_score = 30 THEN concat('✅ Regione compatibile (', trim(region), ')') ELSE concat('❌ Regione non compatibile (', {_nd('region')}, ')') END, ' · ', "
     f"CASE WHEN open_to_all THEN '✅ Settore: aperto a tutti' WHEN sector_score = 40 THEN concat('✅ Settore ammesso (', trim(sector_code), ')') WHEN sector_score > 0 THEN concat('⚠️ Settore parzialmente compatibile (', trim(sector_code), ')') ELSE concat('❌ Settore non ammesso (', {_nd('sector_code')}, ')') END, ' · ', "
     f"CASE WHEN len(k_sizes) = 0 THEN '✅ Dimensione: nessun vincolo' WHEN size_score = 20 THEN concat('✅ Dimensione compatibile (', trim(size_class), ')') ELSE concat('❌ Dimensione non compatibile (', {_nd('size_class')}, ')') END, ' · ', "
     "CASE WHEN revenue_max IS NULL THEN '✅ Fatturato: nessun vincolo' WHEN revenue_score = 10 THEN '✅ Fatturato entro i limiti' ELSE '❌ Fatturato fuori dai limiti' END"
-    ") AS explanation FROM pairs WHERE score >= 80"))
+    ") AS explanation FROM checks"))
 def score_explanation(spark, sf):
-    return pairs(spark, sf, 80).select("call_id", "company_id", M.explanation().alias("explanation"))
+    return stored(spark, sf).select("match_id", "call_id", "company_id", M.explanation().alias("explanation"))
 
 
 @query("score_band", B.with_pairs(
@@ -212,15 +217,15 @@ def _reason_sql() -> str:
     for i, name in enumerate(B.CRITERIA, 1):
         arms = " ".join(f"WHEN '{o}' THEN {m}" for o, m in _MESSAGES[name].items())
         branches.append(
-            f"SELECT call_id, company_id, {i} AS position, '{name}' AS criterion, o_{name} AS outcome, CASE o_{name} {arms} END AS message "
+            f"SELECT match_id, call_id, company_id, {i} AS position, '{name}' AS criterion, o_{name} AS outcome, CASE o_{name} {arms} END AS message "
             f"FROM checks WHERE o_{name} IS NOT NULL"
         )
-    return B.with_checks(" UNION ALL ".join(branches), where="score >= 85")
+    return B.with_stored(" UNION ALL ".join(branches))
 
 
 @query("eligibility_reasons", _reason_sql())
 def eligibility_reasons(spark, sf):
-    return E.check_rows(pairs(spark, sf, 85), "call_id", "company_id")
+    return E.check_rows(stored(spark, sf), "match_id", "call_id", "company_id")
 
 
 @query("eligibility_funnel", B.with_checks(

@@ -198,9 +198,9 @@ def _reason(t: str, h: str) -> str:
 
 
 _ROUTE_SQL = (
-    _FULL + f", {B.CALLS}, known_hash AS (SELECT {_H} AS h, min(doc_id) AS first_id FROM docs GROUP BY 1), known_title AS (SELECT lower(coalesce(title, '')) AS t, lower(coalesce(issuer, '')) AS e, max(call_id) AS id FROM calls WHERE review_status <> 'validato' GROUP BY ALL), "
-    f"routed AS (SELECT v.call_id, needs_review, len(ferrs) + len(lerrs) AS n_err, h.first_id < v.call_id AS hash_dup, k.id AS title_dup, "
-    f"{_reason(chr(39) + chr(39), 'hd')} AS early, {_reason('tt', 'hd')} AS late FROM (SELECT *, {_NORM.format(x='titolo')} AS tt, {_NORM.format(x='substr(text, 1, 3000)')} AS hd, {_H} AS hh FROM verdict WHERE has_text) v "
+    _FULL + f", {B.CALLS}, known_hash AS (SELECT {_H} AS h, min(doc_id) AS first_id FROM docs GROUP BY 1), known_title AS (SELECT lower(coalesce(title, '')) AS t, lower(coalesce(issuer, '')) AS e, min(call_id) AS id FROM calls GROUP BY ALL), "
+    f"routed AS (SELECT v.call_id, needs_review, len(ferrs) + len(lerrs) AS n_err, h.first_id < v.call_id AS hash_dup, CASE WHEN k.id < v.call_id THEN k.id END AS title_dup, "
+    f"{_reason(chr(39) + chr(39), 'hd')} AS early, {_reason('tt', 'hd')} AS late FROM (SELECT *, {_NORM.format(x='titolo')} AS tt, {_NORM.format(x='text')} AS hd, {_H} AS hh FROM verdict WHERE has_text) v "
     "LEFT JOIN known_hash h ON h.h = v.hh LEFT JOIN known_title k ON trim(coalesce(v.titolo, '')) <> '' AND k.t = lower(v.titolo) AND k.e = lower(coalesce(v.ente, '')))"
 )
 
@@ -210,16 +210,17 @@ _ROUTE_SQL = (
 def ingest_routing(spark, sf):
     """Route of every submitted document: rejected, duplicate, erroneous, pending or validated.
 
-    A text seen under a smaller id counts as already stored; so does a title held by a call under review.
+    A text or a title (with issuer) seen under a smaller id counts as already stored.
     """
     hashed = validated(spark, sf).filter("text IS NOT NULL").withColumn("document_hash", X.content_hash(F.col("text")))
     first = hashed.filter("document_hash IS NOT NULL").groupBy("document_hash").agg(F.min("call_id").alias("first_id"))
-    stored = T.calls(spark, sf).filter("review_status <> 'validato'").select("call_id", "title", "issuer")
+    stored = T.calls(spark, sf).select("call_id", "title", "issuer")
     rows = hashed.join(first, "document_hash", "left").withColumns({
         "early_reason": E.relevance(F.lit(None).cast("string"), F.col("text")), "late_reason": E.relevance(F.col("titolo"), F.col("text")),
         "hash_duplicate": F.when(F.col("first_id") < F.col("call_id"), F.col("first_id")), "title": F.col("titolo"), "issuer": F.col("ente")})
-    named = U.find_duplicates(rows.select("call_id", "title", "issuer", "early_reason", "late_reason", "hash_duplicate", "errors", "needs_review"), stored)
-    return V.route(named.withColumnRenamed("duplicate_of", "title_duplicate"), "text").select("call_id", "route")
+    named = U.find_duplicates(rows.select("call_id", "title", "issuer", "early_reason", "late_reason", "hash_duplicate", "errors", "needs_review"), stored, oldest=True)
+    earlier = F.when(F.col("duplicate_of") < F.col("call_id"), F.col("duplicate_of"))
+    return V.route(named.withColumn("title_duplicate", earlier).drop("duplicate_of"), "text").select("call_id", "route")
 
 
 _GOLD_FIELDS = ("titolo", "ente", "data_scadenza", "contributo_max", "fatturato_max", "modalita_presentazione", "cumulabilita")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions import text as X
-from ..operators import evidence as E, matching as M, normalise as O, profiles as P, validate as V
+from ..operators import evidence as E, matching as M, normalise as O, profiles as P, upkeep as U, validate as V
 from ..functions import refdata as R
 
 SUBMISSION = "call_id bigint, payload string, text string, arrived timestamp"
@@ -18,11 +18,33 @@ def read_submissions(spark: SparkSession, path: str, files_per_batch: int = 100)
     return spark.readStream.schema(SUBMISSION).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def new_submissions(submissions: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Submissions that are calls, each text once within the delay."""
+def new_submissions(submissions: DataFrame) -> DataFrame:
+    """Submissions that are calls, with the hash of their text. Stateless: however late one arrives, none is dropped."""
     hashed = submissions.withColumn("document_hash", X.content_hash(F.col("text")))
-    calls = hashed.filter(E.relevance(F.lit(None).cast("string"), F.col("text")).isNull() & F.col("document_hash").isNotNull())
-    return calls.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["document_hash"])
+    return hashed.filter(E.relevance(F.lit(None).cast("string"), F.col("text")).isNull() & F.col("document_hash").isNotNull())
+
+
+def unseen(batch: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Of a batch, the smallest call_id of each text that no earlier batch has stored. known: document_hash of those."""
+    row = F.struct(*batch.columns)
+    once = batch.groupBy("document_hash").agg(F.min_by(row, "call_id").alias("row")).select("row.*")
+    return once if known is None else once.join(known.select("document_hash").distinct(), "document_hash", "left_anti")
+
+
+def earlier_records(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
+    """Records stored by batches before this one; a batch that runs again does not see its own."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/records")
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return None
+    return spark.read.parquet(f"{out}/records").filter(F.col("batch") < batch_id)
+
+
+def title_duplicates(records: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Records with `duplicate_of`: the oldest earlier record of the same title and issuer, if any."""
+    if known is None:
+        return records.withColumn("duplicate_of", F.lit(None).cast("bigint"))
+    named = lambda df: df.withColumns({"title": F.col("titolo"), "issuer": F.col("ente")})
+    return U.find_duplicates(named(records), named(known).select("call_id", "title", "issuer"), oldest=True).drop("title", "issuer")
 
 
 def validated_records(batch: DataFrame, as_of: datetime.date) -> DataFrame:
@@ -38,7 +60,7 @@ def validated_records(batch: DataFrame, as_of: datetime.date) -> DataFrame:
 
 
 def publishable(records: DataFrame) -> DataFrame:
-    return records.filter((F.size("errors") == 0) & F.col("late_reason").isNull())
+    return records.filter((F.size("errors") == 0) & F.col("late_reason").isNull() & F.col("duplicate_of").isNull())
 
 
 def scores(records: DataFrame, companies: DataFrame, as_of: datetime.date) -> DataFrame:
@@ -51,13 +73,18 @@ def scores(records: DataFrame, companies: DataFrame, as_of: datetime.date) -> Da
 def ingest(submissions: DataFrame, companies: DataFrame, out: str, checkpoint: str, as_of: datetime.date) -> DataStreamWriter:
     """Writer that stores records and scores per batch. A batch that runs again replaces its own output.
 
+    A text that any earlier batch has stored is not stored again, whenever it comes; a record whose title and issuer are
+    known is stored with the older one's id and not matched.
+
     The records are read back before they are matched, so validation runs once per record and the
     matching plan starts from a table.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         place = f"{out}/records/batch={batch_id}"
-        validated_records(batch, as_of).write.mode("overwrite").parquet(place)
+        known = earlier_records(batch.sparkSession, out, batch_id)
+        records = validated_records(unseen(batch, known), as_of)
+        title_duplicates(records, known).write.mode("overwrite").parquet(place)
         stored = batch.sparkSession.read.parquet(place)
         scores(stored, companies, as_of).write.mode("overwrite").parquet(f"{out}/matches/batch={batch_id}")
 

@@ -66,6 +66,24 @@ def test_ingest_stream(spark, sf, tmp_path):
     assert matches.join(valid, "call_id", "left_anti").isEmpty()
 
 
+def test_late_and_repeated_submissions(spark, sf, tmp_path):
+    """A text a month late is stored; a copy that comes a month after is not stored again; a known title is marked."""
+    import json
+
+    body = lambda title: json.dumps({"bando": {"titolo": title, "ente": "Ente"}})
+    day = lambda n: datetime.datetime(2024, 6, 1) + datetime.timedelta(days=n)
+    arrivals = [(1, body("Uno"), "testo uno", day(0)), (2, body("Due"), "testo due", day(60)), (3, body("Tre"), "testo tre", day(29)), (4, body("Uno"), " TESTO  uno", day(61)), (5, body("due"), "altro testo", day(62))]
+    source = tmp_path / "in"
+    source.mkdir()
+    q = ingest.ingest(ingest.read_submissions(spark, str(source), 1), T.companies(spark, sf).limit(5), str(tmp_path / "out"), str(tmp_path / "ck"), datetime.date(2024, 6, 1))
+    for row in arrivals:
+        spark.createDataFrame([row], ingest.SUBMISSION).coalesce(1).write.mode("append").parquet(str(source))
+        run = q.trigger(availableNow=True).start()
+        run.awaitTermination(300)
+    got = {r.call_id: r.duplicate_of for r in spark.read.parquet(str(tmp_path / "out" / "records")).collect()}
+    assert got == {1: None, 2: None, 3: None, 5: 2}
+
+
 def test_sinks(spark, sf, tmp_path):
     from fundlens.plans import dashboard_queries as D, report_queries as R
     from fundlens.sources import readers
