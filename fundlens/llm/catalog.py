@@ -66,7 +66,58 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_plan(table(spark, sf_dir, "documents"), qualities(table(spark, sf_dir, "labels")))
+    return mixing.mix_plan(table(spark, sf_dir, "documents"), qualities(table(spark, sf_dir, "labels"))).drop("copies")
 
 
 QUERIES |= {f.__name__: f for f in (op1_language_id, op2_quality_resampling, op3_toxicity, op4_repeated_strings, op5_language_model, op6_exact_top_k, op7_token_output, op8_simhash_groups, op9_decontamination, op10_mixing)}
+
+CHECK_SQL["op6_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+CHECK_SQL["op9_decontamination"] = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+i AS (SELECT item_id, coalesce({_WORDS}, []) AS w FROM benchmark),
+win AS MATERIALIZED (
+  SELECT DISTINCT item, len(x) AS n, x FROM (
+    SELECT CAST(item_id AS VARCHAR) AS item, w[p:p + 12] AS x FROM i, unnest(range(1, greatest(len(w) - 11, 2))) t(p) WHERE len(w) > 0)),
+dw AS (SELECT doc_id, p, n, w[p:p + n - 1] AS x FROM d, (SELECT DISTINCT n FROM win) l, unnest(range(1, len(w) - n + 2)) t(p)),
+h AS MATERIALIZED (SELECT doc_id, p, dw.n, item FROM dw JOIN win ON win.n = dw.n AND win.x = dw.x),
+c AS (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS q FROM h),
+g AS (SELECT doc_id, max(m) AS longest, sum(m) AS n_hit FROM (
+  SELECT doc_id, count(*) AS m FROM (SELECT doc_id, q - row_number() OVER (PARTITION BY doc_id ORDER BY q) AS k FROM c) GROUP BY doc_id, k) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+CHECK_SQL["op10_mixing"] = """
+WITH q AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 2.0 ELSE 0.5 END) AS weight FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+r AS MATERIALIZED (
+  SELECT d.doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    -ln((CAST('0x' || substr(md5(concat(coalesce(CAST(d.doc_id AS VARCHAR), ''), '/42')), 1, 13) AS BIGINT) + 1.0) / 4503599627370496.0) / CAST(coalesce(weight, 1.0) AS DOUBLE) AS key
+  FROM documents d LEFT JOIN q ON q.doc_id = d.doc_id),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM r GROUP BY 1),
+w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, 3 * source_size AS filled FROM s),
+l AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(filled) OVER (ORDER BY filled / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY filled / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (
+  SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(least(floor(target / source_size), 3) AS BIGINT) ELSE 0 END AS whole FROM (
+    SELECT *, least(CAST(filled AS DOUBLE), coalesce(max(level) FILTER (WHERE level <= filled / weight) OVER () * weight, CAST(filled AS DOUBLE))) AS target FROM l)),
+u AS (
+  SELECT r.*, source_size, target, whole, target - whole * source_size AS rest,
+    sum(size) OVER (PARTITION BY r.source ORDER BY key, r.doc_id) AS upto, sum(size) OVER (PARTITION BY r.source, key, r.doc_id) AS n
+  FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN upto - n / 2 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM u
+"""
