@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import DEFAULT_AS_OF as AS_OF
-from ..functions import text as X
-from ..operators import cards as C, eligibility as E, matching as M, profiles as P
+from ..functions import refdata as R, text as X
+from ..operators import cards as C, counts as N, eligibility as E, matching as M, profiles as P
 from ..sources import tables as T
 from . import oracle_base as B
 from .registry import query
@@ -78,7 +78,14 @@ def score_size(spark, sf):
 
 @query("score_revenue", _distribution("revenue_score"))
 def score_revenue(spark, sf):
-    return _by_attribute(spark, sf, "revenue_score", "f_revenue")
+    """Companies within each cap from running counts; a missing revenue counts as zero."""
+    calls = funds(spark, sf).select("call_id", F.col("k_cap").alias("x"))
+    earned = firms(spark, sf).groupBy(F.coalesce("f_revenue", F.lit(0.0)).alias("v")).agg(F.count("*").alias("n"))
+    everyone = earned.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
+    counted = calls.join(N.ranks(earned, calls), "x", "left").join(F.broadcast(everyone))  # one row
+    within = F.when(F.col("x").isNull(), F.col("all")).otherwise(F.col("at_most"))
+    parts = F.array(*(F.struct(F.lit(s).cast("int").alias("revenue_score"), n.alias("companies")) for s, n in ((R.WEIGHT_REVENUE, within), (0, F.col("all") - within))))
+    return counted.select("call_id", F.inline(parts)).filter("companies > 0")
 
 
 @query("score_activity", B.with_pairs(
@@ -233,27 +240,21 @@ def eligibility_reasons(spark, sf):
     + " UNION ALL ".join(f"SELECT {i} AS position, '{n}' AS criterion, o_{n} AS outcome FROM checks" for i, n in enumerate(B.CRITERIA, 1))
     + ") WHERE outcome IS NOT NULL GROUP BY ALL"))
 def eligibility_funnel(spark, sf):
-    met = M.candidates(funds(spark, sf), firms(spark, sf))
-    kinds = (E.FAIL, E.OK, E.UNKNOWN)
-    rules = E.criteria()
-    counted = met.agg(*[
-        F.count_if(c.outcome == kind).alias(f"n_{i}_{kind}") for i, c in enumerate(rules, 1) for kind in kinds
-    ])
-    entries = F.array(*[
-        F.struct(F.lit(i).alias("position"), F.lit(c.name).alias("criterion"), F.lit(kind).alias("outcome"),
-                 F.col(f"n_{i}_{kind}").alias("pairs"))
-        for i, c in enumerate(rules, 1) for kind in kinds
-    ])
-    return counted.select(F.explode(entries).alias("e")).select("e.*").filter("pairs > 0")
+    return N.funnel(funds(spark, sf), firms(spark, sf))
 
 
 @query("match_status_label", B.with_checks(
     "SELECT call_id, CASE WHEN NOT eligible THEN 'Non ammissibile' WHEN score_status = 'da_verificare' THEN 'Da verificare' "
     "ELSE 'Ammissibile sui dati disponibili' END AS label, CAST(count(*) AS BIGINT) AS companies FROM checks GROUP BY ALL"))
 def match_status_label(spark, sf):
-    met = M.candidates(funds(spark, sf), firms(spark, sf))
-    return (
-        met.select("call_id", E.status_label(E.is_eligible(), M.score_status()).alias("label"))
-        .groupBy("call_id", "label")
-        .agg(F.count("*").alias("companies"))
-    )
+    """Companies per call and label; those that are not eligible follow by subtraction."""
+    calls, companies = funds(spark, sf), firms(spark, sf)
+    fits = E.eligible_pairs(calls, companies).groupBy("call_id").agg(F.count("*").alias("eligible"))
+    everyone = companies.agg(F.count("*").alias("all"))
+    counted = calls.select("call_id", M.score_status().alias("status")).join(fits, "call_id", "left").join(F.broadcast(everyone))  # one row
+    eligible = F.coalesce("eligible", F.lit(0))
+    labels = F.array(*(
+        F.struct(E.status_label(F.lit(fit), F.col("status")).alias("label"), n.alias("companies"))
+        for fit, n in ((True, eligible), (False, F.col("all") - eligible))
+    ))
+    return counted.select("call_id", F.inline(labels)).filter("companies > 0")
