@@ -17,7 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 #: Matching first, then dashboards, maintenance, records and documents.
 HEADLINE = (
     "match_scores", "match_threshold", "eligible_pairs", "eligibility_funnel", "score_region", "dashboard_rows", "card_dedup", "company_eligible_count",
-    "dedup_calls_strict", "find_dup_hash", "normalise_calls", "infer_deadline", "page_segments", "chunk_documents", "html_main_text", "rate_admission",
+    "dedup_calls_strict", "find_dup_hash", "normalise_calls", "validate_calls", "ingest_routing", "merge_partials", "match_upsert", "infer_deadline", "page_segments", "chunk_documents", "html_main_text", "rate_admission",
 )
 
 

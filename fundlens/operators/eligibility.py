@@ -136,11 +136,11 @@ def count_outcomes(kind: str) -> Column:
 
 
 def is_eligible() -> Column:
-    """True when no criterion fails."""
+    """True when no criterion fails; null when the call's record could not be read."""
     failed = F.lit(False)
     for c in criteria():
         failed = failed | F.coalesce(c.outcome == FAIL, F.lit(False))
-    return ~failed
+    return F.when(F.col("k_usable"), ~failed)
 
 
 def check_rows(pairs: DataFrame, *keep: str) -> DataFrame:

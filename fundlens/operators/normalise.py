@@ -21,7 +21,8 @@ def open_record(calls: DataFrame, payload: str = "payload") -> DataFrame:
     inner = V.part(F.col("_v"), "bando")
     record = parsed.withColumn("_b", F.when(V.kind(inner) == "object", inner).otherwise(F.col("_v")))
     return record.select(
-        *calls.columns, F.coalesce(V.kind(inner) == "object", F.lit(False)).alias("wrapped"), *[V.part(F.col("_b"), key).alias(RAW + key) for key in R.RECORD_KEYS]
+        *calls.columns, F.coalesce(V.kind(inner) == "object", F.lit(False)).alias("wrapped"),
+        F.coalesce(V.kind(F.col("_v")) == "object", F.lit(False)).alias("payload_ok"), *[V.part(F.col("_b"), key).alias(RAW + key) for key in R.RECORD_KEYS]
     )
 
 
@@ -246,6 +247,7 @@ def to_calls(record: DataFrame) -> DataFrame:
         F.col("anzianita_impresa")["mesi_massimi_dalla_costituzione"].alias("max_age_months"),
         F.col("numero_dipendenti_min").try_cast("int").alias("employees_min"),
         F.col("numero_dipendenti_max").try_cast("int").alias("employees_max"),
+        *(["payload_ok"] if "payload_ok" in record.columns else []),
     )
 
 

@@ -83,6 +83,8 @@ def prepare_calls(calls: DataFrame) -> DataFrame:
     categories = F.transform(forms, legal_category)
     return calls.withColumns(
         {
+            # a call whose record could not be read restricts nothing by its columns, and must not admit everyone
+            "k_usable": F.coalesce("payload_ok", F.lit(False)) if "payload_ok" in calls.columns else F.lit(True),
             "k_regions": lowered,
             "k_region_free": (F.size(lowered) == 0)
             | F.arrays_overlap(lowered, F.array(*[F.lit(r) for r in R.ANY_REGION])),

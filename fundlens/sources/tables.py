@@ -282,12 +282,18 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.withColumns(lists).drop(*CALL_LISTS.values())
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores is dealt out once: each of its rows costs much more than being moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(table(spark, sf_dir, "documents"), DOCUMENT_COLUMNS)
+    return spread(_select(table(spark, sf_dir, "documents"), DOCUMENT_COLUMNS))
 
 
 def raw_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(table(spark, sf_dir, "part"), RAW_CALL_COLUMNS)
+    return spread(_select(table(spark, sf_dir, "part"), RAW_CALL_COLUMNS))
 
 
 def call_replies(spark: SparkSession, sf_dir: str) -> DataFrame:

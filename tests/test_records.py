@@ -55,6 +55,18 @@ def test_malformed_payload_gives_an_empty_record(spark):
     assert r.titolo is None and r.agevolazioni == [] and r.ateco_aperto_a_tutti is False
 
 
+def test_unreadable_records_admit_nobody(spark, sf):
+    from fundlens.operators import eligibility, matching, profiles
+    from fundlens.sources import tables
+
+    rows = spark.createDataFrame([(1, "{non json"), (2, '{"bando": {"titolo": "t"}}'), (3, "[1]")], "call_id bigint, payload string")
+    calls = profiles.prepare_calls(normalise.to_calls(normalise.normalise(rows)))
+    firms = profiles.prepare_companies(tables.companies(spark, sf).limit(7), DAY)
+    met = matching.candidates(calls, firms).select("call_id", eligibility.is_eligible().alias("e"), eligibility.status_label(eligibility.is_eligible(), F.lit("ok")).alias("label")).distinct().collect()
+    assert {(r.call_id, r.e, r.label) for r in met} == {(1, None, "Verifica non riuscita"), (2, True, "Ammissibile sui dati disponibili"), (3, None, "Verifica non riuscita")}
+    assert {r.call_id for r in eligibility.eligible_pairs(calls, firms).select("call_id").distinct().collect()} == {2}
+
+
 def test_economic_details(spark):
     text = ("--- PAGINA 2 ---\nCondizioni del prestito. importo massimo: 48.000,00 euro, importo minimo: 8.000,00 euro. "
             "tasso di interesse: zero; preammortamento: 6 (facoltativo); periodo di rimborso del prestito: 60 mesi.")
