@@ -25,6 +25,18 @@ def _bounds(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
         start = stop - overlap if stop - overlap > start else stop
 
 
+def bounds(docs: DataFrame, key: str, text: str, size: int = R.CHUNK_CHARS, overlap: int = R.CHUNK_OVERLAP) -> DataFrame:
+    """The chunks of `split` without their texts: key, chunk, start, stop."""
+    lap = min(max(overlap, 0), size // 4)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, i, a, b) for k, t in zip(batch[key], batch[text]) if t is not None for i, (a, b) in enumerate(_bounds(t, size, lap))]
+            yield pd.DataFrame(rows, columns=[key, "chunk", "start", "stop"])
+
+    return docs.select(key, text).mapInPandas(cut, f"{key} bigint, chunk int, start int, stop int")
+
+
 def split(docs: DataFrame, key: str, text: str, size: int = R.CHUNK_CHARS, overlap: int = R.CHUNK_OVERLAP) -> DataFrame:
     """One row per chunk: key, chunk, start, stop, text. Each cut depends on the one before it, so the
     documents stream through Arrow batches; no document meets another."""

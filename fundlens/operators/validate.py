@@ -233,3 +233,19 @@ def route(checked: DataFrame, text: str) -> DataFrame:
         .when(F.col("needs_review"), R.PENDING)
         .otherwise(R.VALIDATED),
     )
+
+
+def override_provenance(records: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Records fetched from an address: the address is their origin, and no official link is taken from the text.
+
+    ``fetched`` has call_id and address, one row per fetched call; other records stay as they are.
+    """
+    known = fetched.select("call_id", F.col("address").alias("_address"))
+    joined = records.join(known, "call_id", "left")
+    taken = F.col("_address").isNotNull()
+    return joined.withColumns(
+        {
+            "link_fonte_ufficiale": F.when(~taken, F.col("link_fonte_ufficiale")),
+            "url_documento_origine": F.coalesce("_address", "url_documento_origine"),
+        }
+    ).drop("_address")

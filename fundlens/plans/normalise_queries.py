@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lists as L, refdata as R, variants as V
-from ..operators import normalise as O
+from ..operators import normalise as O, validate
 from ..sources import tables as T
 from . import oracle_base as B
 from .registry import query
@@ -305,3 +305,12 @@ _S_TEXT = f"CASE WHEN starts_with({_S_BODY}, '{{') THEN {_S_BODY} ELSE regexp_ex
        f"SELECT call_id, CASE WHEN json_valid(t) AND json_type(t) = 'OBJECT' THEN t END AS json_text FROM (SELECT call_id, {_S_TEXT} AS t FROM replies)")
 def json_reply_clean(spark, sf):
     return T.call_replies(spark, sf).select("call_id", O.clean_reply(F.col("reply")).alias("json_text"))
+
+
+@query("provenance_override", with_rec(
+    "SELECT rec.call_id, CASE WHEN p.page_id IS NULL THEN link END AS link, coalesce(p.url, rec.url) AS url FROM rec LEFT JOIN pages p ON p.page_id = rec.call_id"))
+def provenance_override(spark, sf):
+    """Origin of records, where a page of the same id stands for the address that a call was fetched from."""
+    fetched = T.table(spark, sf, "pages").select(F.col("page_id").alias("call_id"), F.col("url").alias("address"))
+    done = validate.override_provenance(record(spark, sf).select("call_id", "link_fonte_ufficiale", "url_documento_origine"), fetched)
+    return done.select("call_id", F.col("link_fonte_ufficiale").alias("link"), F.col("url_documento_origine").alias("url"))

@@ -35,7 +35,7 @@ def chunk_documents(spark, sf):
 @query("coverage", f"{_CHUNKS} SELECT doc_id, CAST(max(total) AS INT) AS total_chars, CAST(max(stop) AS INT) AS read_chars, CAST(count(*) AS BIGINT) AS blocks, max(stop) = max(total) AS complete FROM ch GROUP BY doc_id")
 def coverage(spark, sf):
     docs = T.documents(spark, sf)
-    return chunks.coverage(docs, chunks.split(docs, "doc_id", "text", CHUNK, OVERLAP), "doc_id", "text")
+    return chunks.coverage(docs, chunks.bounds(docs, "doc_id", "text", CHUNK, OVERLAP), "doc_id", "text")
 
 
 def partials(spark, sf):
