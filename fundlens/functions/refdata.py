@@ -131,6 +131,8 @@ INSTRUMENT_NUMBERS = (
 )
 
 # Keys of the call record, in record order.
+#: Older names of record keys; where one says something, it goes first.
+KEY_ALIASES = {"regioni_ammesse": "regioni", "codici_ateco_ammessi": "codici_ateco", "dimensione_impresa": "dimensione"}
 RECORD_KEYS = (
     "titolo", "ente", "data_pubblicazione", "data_scadenza", "codici_ateco_ammessi", "attivita_ammesse",
     "ateco_aperto_a_tutti", "regioni_ammesse", "dimensione_impresa", "fatturato_max",

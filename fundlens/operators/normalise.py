@@ -22,10 +22,20 @@ def open_record(calls: DataFrame, payload: str = "payload") -> DataFrame:
     record = parsed.withColumn("_b", F.when(V.kind(inner) == "object", inner).otherwise(F.col("_v")))
     return record.select(
         *calls.columns, F.coalesce(V.kind(inner) == "object", F.lit(False)).alias("wrapped"),
-        F.coalesce(V.kind(F.col("_v")) == "object", F.lit(False)).alias("payload_ok"), *[V.part(F.col("_b"), key).alias(RAW + key) for key in R.RECORD_KEYS]
+        F.coalesce(V.kind(F.col("_v")) == "object", F.lit(False)).alias("payload_ok"), *[_field(key).alias(RAW + key) for key in R.RECORD_KEYS],
+        V.part(F.col("_b"), R.KEY_ALIASES["dimensione_impresa"]).alias(RAW + "dimensione"),
     )
 
 
+def _field(key: str) -> Column:
+    """A record's field, or its older name where that says something. Sizes under the older name are read apart."""
+    value = V.part(F.col("_b"), key)
+    if key not in R.KEY_ALIASES or key == "dimensione_impresa":
+        return value
+    older = V.part(F.col("_b"), R.KEY_ALIASES[key])
+    return F.when(V.truthy(older), older).otherwise(value)
+
+
 def source(value: Column) -> Column:
     page = V.number(V.part(value, "pagina"))
     return F.struct(
@@ -131,8 +141,14 @@ def typed_columns() -> dict[str, Column]:
     for key in R.NUMERIC_FIELDS:
         columns[key] = V.number(raw(key))
     columns["ateco_aperto_a_tutti"] = V.boolean(raw("ateco_aperto_a_tutti"))
+    # the older name holds an object, a list or a text with commas
+    older = raw("dimensione")
+    named = F.when(V.kind(older) == "text", F.transform(F.split(V.raw_text(older), ","), lambda x: F.trim(x))).when(V.kind(older) == "list", V.all_texts(older))
     columns["dimensione_impresa"] = F.struct(*[
-        ((V.kind(size) == "object") & V.truthy(V.part(size, s))).alias(s) for s in R.SIZES
+        F.when(V.truthy(older), F.coalesce(F.array_contains(F.transform(named, lambda x: F.lower(x)), s), (V.kind(older) == "object") & V.truthy(V.part(older, s)), F.lit(False)))
+        .otherwise((V.kind(size) == "object") & V.truthy(V.part(size, s)))
+        .alias(s)
+        for s in R.SIZES
     ])
     columns["percentuale_fondo_perduto"] = V.percent_bands(raw("percentuale_fondo_perduto"))
     columns["modalita_presentazione"] = V.one_of(raw("modalita_presentazione"), R.SUBMISSION_MODES)
