@@ -14,12 +14,10 @@ from .components import components
 WORDS = 3
 BITS = 3
 SEED = 42
-#: Parts of a fingerprint: two that differ in at most 3 bits agree on 2 of 5 parts.
-PARTS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
 #: Reference fingerprints of the distance table.
 PIVOTS = kit.mix(np.arange(1001, 1017, dtype=np.uint64))
 #: Fingerprints that are compared with each other at once; a larger bucket is dealt out as pairs of tiles of this size.
-TILE = 1024
+TILE = 4096
 
 
 # -- fingerprints ---------------------------------------------------------------------------------------------
@@ -122,23 +120,27 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
-def bucket_keys(fp):
-    """For each pair of parts, a key of their bits and the pair's number: fingerprints within 3 bits share one at least."""
-    keys = []
-    for number, (p, q) in enumerate(combinations(range(len(PARTS)), 2)):
-        mask = sum(((1 << (b - a)) - 1) << a for a, b in (PARTS[p], PARTS[q]))
+def bucket_keys(fp, bits: int = BITS):
+    """A fingerprint is cut into bits + 2 parts; for each pair of parts, a key of their bits and the pair's number.
+
+    Fingerprints within `bits` agree on two parts at least, so they share a key.
+    """
+    n, keys = bits + 2, []
+    parts = [(64 * i // n, 64 * (i + 1) // n) for i in range(n)]
+    for number, (p, q) in enumerate(combinations(parts, 2)):
+        mask = sum(((1 << (b - a)) - 1) << a for a, b in (p, q))
         signed = mask - (1 << 64) if mask >> 63 else mask
         keys.append(F.xxhash64(fp.bitwiseAND(F.lit(signed).cast("long")), F.lit(number)))
     return F.array(*keys)
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """(a, b) for distinct fingerprints `_fp`: enough links within 3 bits to join what all such links join.
+def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
+    """(a, b) for distinct fingerprints `_fp`: enough links within `bits` to join what all such links join.
 
-    Ten keys a fingerprint name the buckets. A bucket of over TILE fingerprints is dealt out as pairs of tiles, so no
+    The keys of a fingerprint (ten for 3 bits) name the buckets. A bucket of over TILE fingerprints is dealt out as pairs of tiles, so no
     task holds more than two tiles, and each pair of tiles gives fewer links than it has fingerprints.
     """
-    keys = prints.select("_fp", F.explode(bucket_keys(F.col("_fp"))).alias("key"))
+    keys = prints.select("_fp", F.explode(bucket_keys(F.col("_fp"), bits)).alias("key"))
     busy = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "_k")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     placed = keys.join(busy, F.col("key") == F.col("_k")).select("_fp", "key", tiles.alias("tiles"), F.pmod(F.xxhash64("_fp", F.lit(7)), tiles).cast("int").alias("mine"))
@@ -154,7 +156,7 @@ def links(prints: DataFrame) -> DataFrame:
             a, b, lag = [], [], 1
             while len(same := np.flatnonzero(cells[lag:] == cells[:-lag])):
                 x, y = fps[same], fps[same + lag]
-                near = (np.abs(pivot_table(x) - pivot_table(y)) <= BITS).all(axis=1) & (np.bitwise_count(x ^ y) <= BITS)
+                near = (np.abs(pivot_table(x) - pivot_table(y)) <= bits).all(axis=1) & (np.bitwise_count(x ^ y) <= bits)
                 a.append(x[near])
                 b.append(y[near])
                 lag += 1
@@ -172,12 +174,12 @@ def links(prints: DataFrame) -> DataFrame:
                 if n <= 8 and (side == 2).all():
                     continue
                 if side[0] == 2:
-                    i, j = near_pairs(f, None)
+                    i, j = near_pairs(f, None, bits)
                     pairs = spanning(len(f), i, j)
                     u = f
                 else:
                     l, r = f[side == 0], f[side == 1]
-                    i, j = near_pairs(l, r)
+                    i, j = near_pairs(l, r, bits)
                     u = np.concatenate([l, r])
                     pairs = spanning(len(u), i, j + len(l))
                 if pairs:
@@ -198,27 +200,29 @@ def links(prints: DataFrame) -> DataFrame:
     return kit.mapped(met.repartition(width, "cell").sortWithinPartitions("cell"), join, "a long, b long")
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """doc_id, fingerprint and component_id, one row for each row of docs (doc_id, text; other columns are left alone).
 
+    Fingerprints link at `bits` or fewer differing bits.
+
     Only distinct fingerprints meet, each with its smallest doc_id; copies are never paired. Null, empty and word-less
     texts have fingerprint zero and are linked like any others; a text of fewer words than a shingle is one shingle;
     repeated rows share all results. A component made only of null ids has a null id.
     """
     prints = kit.stored(fingerprints(docs.select("doc_id", "text")), "prints")
     nodes = kit.stored(prints.groupBy("_fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(links(nodes.select("_fp")))
+    roots = components(links(nodes.select("_fp"), bits))
     placed = nodes.join(roots, nodes["_fp"] == roots["node"], "left").select("_fp", "first", F.coalesce("root", "_fp").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     of_print = placed.join(smallest, "root").select(F.col("_fp").alias("_p"), "component_id")
     return prints.join(of_print, F.col("_fp") == F.col("_p")).select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """One document of each group, that of the smallest doc_id, with the columns of docs; repeated rows of it become one."""
     names = docs.columns
     rows = docs.select("doc_id", F.struct(*(F.col(f"`{n}`") for n in names)).alias("_row"))
-    found = groups(docs.select("doc_id", "text"))
+    found = kit.stored(groups(docs.select("doc_id", "text"), bits), "groups")
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
     kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep"))).drop("_keep")
     # ids that come more than once are rare: only they are brought together

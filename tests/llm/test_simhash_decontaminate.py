@@ -25,7 +25,7 @@ def expected_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def expected_groups(prints):
+def expected_groups(prints, bits=3):
     """prints: (id, fingerprint) -> smallest id reachable, by all pairs."""
     fps = sorted({f for _, f in prints})
     parent = list(range(len(fps)))
@@ -37,7 +37,7 @@ def expected_groups(prints):
 
     for i in range(len(fps)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 3:
+            if (fps[i] ^ fps[j]).bit_count() <= bits:
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     least = {}
     for d, f in prints:
@@ -55,15 +55,16 @@ def test_groups(request, name):
     assert sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in rows(simhash.groups(docs))) == want
 
 
-def test_links_in_crowded_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("bits", [3, 6])
+def test_links_in_crowded_buckets(spark, monkeypatch, bits):
     """Thousands of fingerprints around a few centres: the same components as all pairs give, from few links."""
     rng = random.Random(1)
     centres = [rng.getrandbits(64) for _ in range(4)]
     fps = list({c ^ sum(1 << b for b in rng.sample(range(20, 50), rng.randrange(6))) for c in centres for _ in range(400)})
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
     monkeypatch.setattr(simhash, "TILE", 64)
-    found = simhash.links(spark.createDataFrame(signed, "_fp long")).collect()
-    assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 3 for r in found)
+    found = simhash.links(spark.createDataFrame(signed, "_fp long"), bits).collect()
+    assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= bits for r in found)
     parent = {f: f for f in fps}
 
     def find(x):
@@ -74,7 +75,7 @@ def test_links_in_crowded_buckets(spark, monkeypatch):
     for r in found:
         a, b = find(r.a % (1 << 64)), find(r.b % (1 << 64))
         parent[max(a, b)] = min(a, b)
-    want = expected_groups([(f, f) for f in fps])
+    want = expected_groups([(f, f) for f in fps], bits)
     assert {f: find(f) for f in fps} == want
 
 
