@@ -185,8 +185,14 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 # -- bounded samples of labelled rows ---------------------------------------------------------------------------
 
 
-def sampled(rows: DataFrame, key: str, group: str, most: int, seed: int) -> DataFrame:
-    """Rows of each group by hash of the key, `most` a group in expectation (all, if it has no more). Same rows each run."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
-    chosen = rows.join(sizes.withColumnRenamed(group, "_g"), F.col(group) == F.col("_g"))
-    return chosen.where(share(F.coalesce(F.col(key).cast("string"), F.lit("")), seed) * F.col("_n") < most).drop("_n", "_g")
+def group_sizes(rows: DataFrame, group: str) -> dict:
+    """Rows of each value of a column of few values."""
+    return {r[0]: r[1] for r in rows.groupBy(group).agg(F.count("*")).collect()}
+
+
+def sampled(rows: DataFrame, key: str, group: str, sizes: dict, most: int, seed: int) -> DataFrame:
+    """Rows of each group by hash of the key, `most` a group in expectation (all, if it has no more). Same rows each run, no shuffle."""
+    n = F.lit(0.0)
+    for value, size in sizes.items():
+        n = F.when(F.col(group) == F.lit(value), F.lit(float(size))).otherwise(n)
+    return rows.where(n > 0).where(share(F.coalesce(F.col(key).cast("string"), F.lit("")), seed) * n < most)

@@ -94,11 +94,11 @@ class Model:
 def learn(docs: DataFrame, most: int = SAMPLE_DOCS) -> Model:
     """Filters from text and lang of a bounded sample: about `most` documents a language, by hash of the id."""
     labelled = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = kit.group_sizes(labelled, "lang")
     languages = sorted(sizes)
     if not languages:
         return Model([], [], 0)
-    sample = kit.sampled(labelled, "doc_id", "lang", most, 1)
+    sample = kit.sampled(labelled, "doc_id", "lang", sizes, most, 1)
 
     def count(batches, out):
         for batch in batches:

@@ -47,7 +47,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> tuple[
     Returns the model without threshold and the sample (doc_id -> quality), of about `most` ids a class by hash.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    sample = {r["doc_id"]: int(r["quality"]) for r in kit.sampled(known, "doc_id", "quality", most, 2).collect()}
+    sample = {r["doc_id"]: int(r["quality"]) for r in kit.sampled(known, "doc_id", "quality", kit.group_sizes(known, "quality"), most, 2).collect()}
     good = docs.sparkSession.sparkContext.broadcast(frozenset(d for d, q in sample.items() if q == 1))
 
     def count(batches, out):

@@ -151,10 +151,10 @@ def train(texts: list[tuple[str, int]], prior: float) -> Model | None:
 def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> Model | None:
     """A model from a bounded sample: about `most` labelled documents a class, of up to SAMPLE_BYTES each, by hash of the id."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    counts = kit.group_sizes(known, "toxic")
     if len(counts) < 2:
         return None
-    ids = kit.sampled(known, "doc_id", "toxic", most, 3)
+    ids = kit.sampled(known, "doc_id", "toxic", counts, most, 3)
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES)
     rows = texts.join(F.broadcast(ids.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
