@@ -91,6 +91,16 @@ def plan_mix(rows: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS, epochs:
     )
 
 
+#: Most sources whose plan is sent to all tasks; with more, the plan is joined by source, and skewed sources are split at run time.
+SENT_SOURCES = 100_000
+
+
+def planned(rows: DataFrame) -> DataFrame:
+    """The plan of all sources, ready to be joined with rows of any number a source."""
+    plan = kit.stored(plan_mix(rows), "mix-plan")
+    return F.broadcast(plan) if plan.count() <= SENT_SOURCES else plan
+
+
 def copies() -> Column:
     """How often the mix takes a document whole: the complete epochs, and once more inside the partial one."""
     me = F.struct(F.col("_key").alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"))
@@ -107,7 +117,7 @@ def mix_plan(docs: DataFrame, qualities: DataFrame | None = None, seed: int = 42
     taken alike. Only sizes and keys are shuffled, never texts. An empty table gives no rows.
     """
     rows = kit.stored(keyed(docs.select("doc_id", "source", word_count(F.col("text")).alias("_size")), qualities, seed), "mix-rows")
-    plan = plan_mix(rows)
+    plan = planned(rows)
     out = rows.join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn("copies", copies())
     return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken"), "copies")
 
@@ -116,7 +126,7 @@ def mixed(docs: DataFrame, qualities: DataFrame | None = None, seed: int = 42) -
     """The rows of docs as the mix takes them, repeats included, with the columns of docs."""
     names = docs.columns
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("_size"), F.struct(*(F.col(f"`{n}`") for n in names)).alias("_row"))
-    plan = plan_mix(kit.stored(keyed(sized.drop("_row"), qualities, seed), "mix-rows"))
+    plan = planned(kit.stored(keyed(sized.drop("_row"), qualities, seed), "mix-rows"))
     chosen = keyed(sized, qualities, seed).join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_n", copies())
     repeated = chosen.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     return repeated.select(*(F.col("_row").getField(n).alias(n) for n in names))
