@@ -13,7 +13,7 @@ from . import kit
 
 LENGTH = 100
 #: Bytes of a first rank. Every LENGTH-byte string holds at least one chosen position with all bytes of its rank.
-NAME = 32
+NAME = 48
 SPAN = LENGTH - NAME + 1
 BLOCK_BYTES = 8 << 20
 #: Bytes of a text that are ranked at once.
@@ -135,10 +135,11 @@ _NO_ID = -(1 << 63)
 
 
 def first_round(table: DataFrame) -> DataFrame:
-    """key, name, context, doc, ref, start, kind: position and rank pairs that have to meet.
+    """key, context, doc, ref, start, kind: position and rank pairs that have to meet.
 
-    Inside a task, a position with the context of an earlier one is REPEATED already. A name with several contexts in a
-    task would crowd one key: only a MARKER goes there, and its positions go to keys of name and context (OPEN).
+    Inside a task, a position with the context of an earlier one is REPEATED already: it travels under its document's
+    key. A name with several contexts in a task would crowd one key: only a MARKER goes there, and its positions go to
+    keys of name and context (OPEN).
     """
 
     def run(batches, out):
@@ -156,10 +157,15 @@ def first_round(table: DataFrame) -> DataFrame:
             several = other[group]
             kind[several & ~later] = OPEN
             key = np.where(several, kit.mix(name + context), name)
+            key = np.where(later, kit.mix(ref.astype(np.uint64)), key)
             mark = np.flatnonzero(new & several)
-            yield kit.record(out, [x.view(np.int64) if x.dtype == np.uint64 else x for x in (key, name, context, doc, ref, start, kind)])
+            # 48 bits tell contexts of a name apart (one a task); other keys hold the context already
+            context = np.where(kind == REP, context & np.uint64((1 << 48) - 1), np.uint64(0))
+            in_text = np.lexsort((start, ref))  # neighbours in a text differ little, which the shuffle compresses
+            yield kit.record(out, [x[in_text].view(np.int64) if x.dtype == np.uint64 else x[in_text] for x in (key, context, doc, ref, start, kind)])
             if len(mark):
-                yield kit.record(out, [x.view(np.int64) if x.dtype == np.uint64 else x for x in (name[mark], name[mark], context[mark], doc[mark], ref[mark], start[mark], np.full(len(mark), MARKER, np.int8))])
+                none = np.zeros(len(mark), np.int64)
+                yield kit.record(out, [name[mark].view(np.int64), none, none, none, none, np.full(len(mark), MARKER, np.int8)])
 
         for batch in batches:
             for row in _rows(batch):
@@ -175,7 +181,7 @@ def first_round(table: DataFrame) -> DataFrame:
         if n:
             yield from send()
 
-    return kit.mapped(table.select("block", "ids", "ends", "data"), run, "key long, name long, context long, doc long, ref long, start long, kind byte")
+    return kit.mapped(table.select("block", "ids", "ends", "data"), run, "key long, context long, doc long, ref long, start long, kind byte")
 
 
 def _by_key(df: DataFrame, key: str, *then: str) -> DataFrame:
