@@ -6,12 +6,21 @@ import numpy as np
 
 HIDDEN = 32
 #: Frequent words have a softmax inside their class; classes of rare words share out their probability by counts.
-WORDS = 2048
-IN_CLASS = 64
-RARE = 128
+WORDS = 1024
+IN_CLASS = 32
+RARE = 96
 WINDOW = 16
 LANES = 128
 RATE = 0.05
+#: States whose outputs are worked out together: small enough for the processor's cache.
+FLUSH = 4096
+
+
+def _safe(logits: np.ndarray) -> np.ndarray:
+    """Logits whose exponentials neither overflow nor vanish; they rarely need it."""
+    if -60 < logits.min() and logits.max() < 60:
+        return logits
+    return logits - logits.max(axis=1, keepdims=True)
 
 
 class Net:
@@ -37,15 +46,25 @@ class Net:
 
     def step(self, word: np.ndarray, h: np.ndarray):
         x, u = self.x[word], h @ self.u
-        zr = 1 / (1 + np.exp(-(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])))
+        un = u[:, 2 * HIDDEN :]
+        zr = x[:, : 2 * HIDDEN]
+        zr += u[:, : 2 * HIDDEN]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
-        return n + z * (h - n), (h, z, r, n, u[:, 2 * HIDDEN :])
+        n = r * un
+        n += x[:, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        out = h - n
+        out *= z
+        out += n
+        return out, (h, z, r, n, un)
 
     def log_p(self, h: np.ndarray, cls: np.ndarray, inside: np.ndarray, grads: Net | None = None):
         """Natural log probability of class and, for frequent words, of the word inside it (else 0). With grads: adds to them, returns dh too."""
-        logits = h @ self.c + self.cb
-        logits -= logits.max(axis=1, keepdims=True)
+        logits = _safe(h @ self.c + self.cb)
         rows = np.arange(len(cls))
         out = logits[rows, cls].astype(float)
         p = np.exp(logits, out=logits)
@@ -64,8 +83,7 @@ class Net:
         for k in np.flatnonzero(np.diff(edges)):
             at = order[edges[k] : edges[k + 1]]
             hk, one = h[at], np.arange(len(at))
-            l = hk @ self.w[k] + self.wb[k]
-            l -= l.max(axis=1, keepdims=True)
+            l = _safe(hk @ self.w[k] + self.wb[k])
             out[at] += l[one, inside[at]]
             p = np.exp(l, out=l)
             total = p.sum(axis=1)
@@ -127,15 +145,16 @@ def score(net: Net, streams: Streams, cls: np.ndarray, inside: np.ndarray) -> np
         n = int((streams.lengths > a).sum())
         at = streams.window(int(a), int(b), n)
         words, fresh = streams.inputs[at], streams.first[at]
+        begins = fresh.any(axis=1)
         h = h[:n]
         for t in range(len(at)):
-            if fresh[t].any():
+            if begins[t]:
                 h = np.where(fresh[t][:, None], np.float32(0), h)
             h, _ = net.step(words[t], h)
             states.append(h)
             places.append(at[t])
             held += n
-            if held >= 1 << 14:
+            if held >= FLUSH:
                 p = np.concatenate(places)
                 out[p] = net.log_p(np.concatenate(states), cls[p], inside[p])
                 states, places, held = [], [], 0

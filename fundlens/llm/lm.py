@@ -12,7 +12,9 @@ from . import gru, kit
 #: Text of one block: documents that share a word table and are scored together.
 BLOCK_BYTES = 8 << 20
 #: Documents that train the recurrent weights: one in so many of those not held out, by hash of the id. Counts take all.
-TRAIN_ONE_IN = 4
+TRAIN_ONE_IN = 5
+#: Passes over the first block, of which all documents not held out train.
+FIRST_PASSES = 3
 LANES = 512
 END_HASH = 0
 CLASSES = gru.WORDS // gru.IN_CLASS
@@ -136,7 +138,7 @@ def _texts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def trained(blocks: DataFrame, corpus: Corpus) -> np.ndarray:
-    """Weights after one pass over the training share of the corpus: a first block alone, then all blocks from there.
+    """Weights after some passes over a first block, then one over the training share of all other blocks from there.
 
     Each task goes through its blocks in turn; the tasks' weights are averaged by the tokens they have seen, in a few
     groups before the driver, which holds as many sets of weights as there are groups.
@@ -144,16 +146,17 @@ def trained(blocks: DataFrame, corpus: Corpus) -> np.ndarray:
     spark = blocks.sparkSession
     some = blocks.select("block", "docs", "words", "hashes", "rare")
 
-    def passes(start):
+    def passes(start, member: str, times: int):
         def run(batches, out):
             net, memory, seen = gru.Net(start.value[0].copy()), start.value[1].copy(), 0
             for batch in batches:
                 for row in batch.to_pylist():
                     words, sizes, hashes, rare = _texts(row)
-                    chosen = np.array([d["trains"] for d in row["docs"]], bool)
+                    chosen = np.array([d["trains"] or (member == "all" and not d["held_out"]) for d in row["docs"]], bool)
                     mine = words[np.repeat(chosen, sizes)]
                     streams, cls, inside, _ = corpus_of.value.streams(mine, sizes[chosen], hashes, rare, gru.LANES)
-                    gru.train(net, memory, streams, cls, inside)
+                    for _ in range(times):
+                        gru.train(net, memory, streams, cls, inside)
                     seen += len(streams.words)
             if seen:
                 yield kit.record(out, [[seen], [net.flat.tobytes()], [memory.tobytes()]])
@@ -172,9 +175,10 @@ def trained(blocks: DataFrame, corpus: Corpus) -> np.ndarray:
     kind = "n long, weights binary, memory binary"
     corpus_of = spark.sparkContext.broadcast(corpus)
     weights, memory = corpus.net.flat, np.zeros_like(corpus.net.flat)
-    first = some.where(F.exists("docs", lambda d: d["trains"])).agg(F.min("block")).first()[0]
-    for part in [some.where(F.col("block") == first), some.where(F.col("block") != first)] if first is not None else []:
-        results = kit.mapped(part, passes(spark.sparkContext.broadcast((weights, memory))), kind)
+    first = some.where(F.exists("docs", lambda d: ~d["held_out"])).agg(F.min("block")).first()[0]
+    rounds = [(F.col("block") == first, "all", FIRST_PASSES), (F.col("block") != first, "share", 1)]
+    for part, member, times in rounds if first is not None else []:
+        results = kit.mapped(some.where(part), passes(spark.sparkContext.broadcast((weights, memory)), member, times), kind)
         groups = kit.mapped(results.repartition(8), averaged, kind).collect()
         if total := sum(r["n"] for r in groups):
             weights = (sum(r["n"] * np.frombuffer(r["weights"], np.float32).astype(float) for r in groups) / total).astype(np.float32)
