@@ -218,16 +218,38 @@ def groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
     return prints.join(of_print, F.col("_fp") == F.col("_p")).select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with columns c0, c1, ... and `_h`, a hash of the whole row, and its names; equal rows have equal hashes."""
+    rows, names = kit.numbered(docs)
+    cells = [F.col(c) for c in rows.columns]
+    return rows.withColumn("_h", F.xxhash64(*cells, *(c.isNull() for c in cells))), names
+
+
+def texts(rows: DataFrame, names: list[str]) -> DataFrame:
+    """doc_id, text and `_h` of keyed rows."""
+    return rows.select(F.col(f"c{names.index('doc_id')}").alias("doc_id"), F.col(f"c{names.index('text')}").alias("text"), "_h")
+
+
+def one_of_each(rows: DataFrame, names: list[str], prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of each group the row of the smallest (doc_id, `_h`), null ids last. prints: doc_id, `_h`, `_fp` of all rows; roots: (node, root) of linked prints."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("first")
+    nodes = prints.groupBy("_fp").agg(first)
+    firsts = nodes.join(roots, F.col("_fp") == F.col("node"), "left").groupBy(F.coalesce("root", "_fp").alias("_root")).agg(F.min("first").alias("first"))
+    # rows that come more than once are rare: only they are brought together
+    twice = prints.groupBy("_h").count().where("count > 1").select(F.col("_h").alias("_twice"))
+    keep = kit.stored(firsts.select(F.col("first._h").alias("_keep")).join(twice, F.col("_keep") == F.col("_twice"), "left").select("_keep", F.col("_twice").isNotNull().alias("_many")), "keep")
+    kept = rows.join(keep, F.col("_h") == F.col("_keep"))
+    cells = [f"c{i}" for i in range(len(names))]
+    once = kept.where("not _many").select(*cells)
+    rest = kept.where("_many").groupBy("_h").agg(F.min(F.struct(*cells)).alias("_row")).select("_row.*")
+    return kit.named(once.union(rest), names)
+
+
 def deduplicated(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """One document of each group, that of the smallest doc_id, with the columns of docs; repeated rows of it become one."""
-    names = docs.columns
-    rows = docs.select("doc_id", F.struct(*(F.col(f"`{n}`") for n in names)).alias("_row"))
-    found = kit.stored(groups(docs.select("doc_id", "text"), bits), "groups")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep"))).drop("_keep")
-    # ids that come more than once are rare: only they are brought together
-    twice = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")).distinct()
-    marked = kept.join(twice, F.col("doc_id").eqNullSafe(F.col("_twice")), "left")
-    once = marked.where("_twice is null and doc_id is not null").select("_row")
-    rest = marked.where("_twice is not null or doc_id is null").groupBy("doc_id").agg(F.min("_row").alias("_row")).select("_row")
-    return once.union(rest).select(*(F.col("_row").getField(n).alias(n) for n in names))
+    """One row of each group, that of the smallest doc_id, with the columns of docs; repeated rows of it become one.
+
+    Groups are told apart by their fingerprints, not by ids: each keeps one row, also where ids are null or repeated.
+    """
+    rows, names = keyed(docs)
+    prints = kit.stored(fingerprints(texts(rows, names)), "prints")
+    return one_of_each(rows, names, prints, components(links(prints.select("_fp").distinct(), bits)))

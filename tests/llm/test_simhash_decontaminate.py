@@ -107,6 +107,19 @@ def test_one_of_each_group_stays(documents, odd, clashing, empty):
         assert sorted(str(r["doc_id"]) for r in rows(kept)) == sorted({str(c) for _, c in found})
 
 
+def distinct_texts(n):
+    rng = random.Random(9)
+    return [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(n)]
+
+
+def test_groups_of_null_and_repeated_ids_keep_a_row_each(spark):
+    a, b, c, d, e, f = distinct_texts(6)
+    docs = [(None, a), (None, b), (None, c), (None, c), (7, d), (7, e), (7, e), (8, d), (3, f), (None, f)]
+    got = simhash.deduplicated(spark.createDataFrame([(i, t, "s") for i, t in docs], "doc_id long, text string, source string").repartition(3))
+    want = [(None, a), (None, b), (None, c), (7, d), (7, e), (3, f)]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in rows(got)) == sorted((str(i), t) for i, t in want)
+
+
 # -- decontamination ------------------------------------------------------------------------------------------
 
 
