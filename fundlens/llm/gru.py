@@ -6,7 +6,7 @@ import numpy as np
 
 HIDDEN = 32
 #: Frequent words have a softmax inside their class; classes of rare words share out their probability by counts.
-WORDS = 1024
+WORDS = 2048
 IN_CLASS = 32
 RARE = 96
 WINDOW = 16

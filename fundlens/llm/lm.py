@@ -11,15 +11,13 @@ from . import gru, kit
 
 #: Text of one block: documents that share a word table and are scored together.
 BLOCK_BYTES = 8 << 20
-#: Documents that train the recurrent weights: one in so many of those not held out, by hash of the id. Counts take all.
-TRAIN_ONE_IN = 5
-#: Passes over the first block, of which all documents not held out train.
-FIRST_PASSES = 3
+#: Passes over all documents that are not held out, the same for every block.
+PASSES = 3
 LANES = 512
 END_HASH = 0
 CLASSES = gru.WORDS // gru.IN_CLASS
 #: A block: its documents, their words as numbers in the block's word table (bytes in three planes), and that table.
-BLOCK = "block long, docs array<struct<doc_id:long,held_out:boolean,trains:boolean,n:int>>, words binary, hashes binary, rare binary, counts binary"
+BLOCK = "block long, docs array<struct<doc_id:long,held_out:boolean,n:int>>, words binary, hashes binary, rare binary, counts binary"
 
 
 # -- blocks ---------------------------------------------------------------------------------------------------
@@ -40,9 +38,9 @@ def from_planes(b: bytes) -> np.ndarray:
     return three[0] | three[1] << 8 | three[2] << 16
 
 
-def coded(docs: DataFrame, held_out, trains) -> DataFrame:
+def coded(docs: DataFrame, held_out) -> DataFrame:
     """Blocks of whole documents. Words of all documents get numbers; counts are those of the documents not held out."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"), (trains & ~held_out).alias("trains"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
 
     def run(batches, out):
         part, number = TaskContext.get().partitionId(), 0
@@ -59,7 +57,7 @@ def coded(docs: DataFrame, held_out, trains) -> DataFrame:
                 learned = np.repeat(~some.column("held_out").to_numpy(zero_copy_only=False), np.diff(bounds))
                 counts = np.bincount(words[learned], minlength=len(order))
                 rare = rare_class(data, starts[first[order]], ends[first[order]])
-                listed = pa.StructArray.from_arrays([some.column("doc_id"), some.column("held_out"), some.column("trains"), pa.array(np.diff(bounds), pa.int32())], ["doc_id", "held_out", "trains", "n"])
+                listed = pa.StructArray.from_arrays([some.column("doc_id"), some.column("held_out"), pa.array(np.diff(bounds), pa.int32())], ["doc_id", "held_out", "n"])
                 cells = [[part << 32 | number], pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed), *([x] for x in (planes(words), hashes[order].astype("<u8").tobytes(), rare.astype(np.uint8).tobytes(), counts.astype("<u4").tobytes()))]
                 yield kit.record(out, cells)
                 number += 1
@@ -138,7 +136,7 @@ def _texts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def trained(blocks: DataFrame, corpus: Corpus) -> np.ndarray:
-    """Weights after some passes over a first block, then one over the training share of all other blocks from there.
+    """Weights after PASSES passes over all documents not held out, the same in every block.
 
     Each task goes through its blocks in turn; the tasks' weights are averaged by the tokens they have seen, in a few
     groups before the driver, which holds as many sets of weights as there are groups.
@@ -146,17 +144,16 @@ def trained(blocks: DataFrame, corpus: Corpus) -> np.ndarray:
     spark = blocks.sparkSession
     some = blocks.select("block", "docs", "words", "hashes", "rare")
 
-    def passes(start, member: str, times: int):
+    def passes(start):
         def run(batches, out):
             net, memory, seen = gru.Net(start.value[0].copy()), start.value[1].copy(), 0
             for batch in batches:
                 for row in batch.to_pylist():
                     words, sizes, hashes, rare = _texts(row)
-                    chosen = np.array([d["trains"] or (member == "all" and not d["held_out"]) for d in row["docs"]], bool)
+                    chosen = np.array([not d["held_out"] for d in row["docs"]], bool)
                     mine = words[np.repeat(chosen, sizes)]
                     streams, cls, inside, _ = corpus_of.value.streams(mine, sizes[chosen], hashes, rare, gru.LANES)
-                    for _ in range(times):
-                        gru.train(net, memory, streams, cls, inside)
+                    gru.train(net, memory, streams, cls, inside)
                     seen += len(streams.words)
             if seen:
                 yield kit.record(out, [[seen], [net.flat.tobytes()], [memory.tobytes()]])
@@ -175,10 +172,8 @@ def trained(blocks: DataFrame, corpus: Corpus) -> np.ndarray:
     kind = "n long, weights binary, memory binary"
     corpus_of = spark.sparkContext.broadcast(corpus)
     weights, memory = corpus.net.flat, np.zeros_like(corpus.net.flat)
-    first = some.where(F.exists("docs", lambda d: ~d["held_out"])).agg(F.min("block")).first()[0]
-    rounds = [(F.col("block") == first, "all", FIRST_PASSES), (F.col("block") != first, "share", 1)]
-    for part, member, times in rounds if first is not None else []:
-        results = kit.mapped(some.where(part), passes(spark.sparkContext.broadcast((weights, memory)), member, times), kind)
+    for _ in range(PASSES):
+        results = kit.mapped(some, passes(spark.sparkContext.broadcast((weights, memory))), kind)
         groups = kit.mapped(results.repartition(8), averaged, kind).collect()
         if total := sum(r["n"] for r in groups):
             weights = (sum(r["n"] * np.frombuffer(r["weights"], np.float32).astype(float) for r in groups) / total).astype(np.float32)
@@ -189,7 +184,7 @@ def trained(blocks: DataFrame, corpus: Corpus) -> np.ndarray:
 # -- scores ---------------------------------------------------------------------------------------------------
 
 
-def scores(docs: DataFrame, held_out, trains) -> DataFrame:
+def scores(docs: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of docs (doc_id, text).
 
     Counts cover all documents not held out; each block of documents gets the corpus counts of its own words back, so no
@@ -199,7 +194,7 @@ def scores(docs: DataFrame, held_out, trains) -> DataFrame:
     alike; with no training documents every count is zero and the weights stay as they start.
     """
     spark = docs.sparkSession
-    blocks = kit.stored(coded(docs, held_out, trains), "lm-blocks")
+    blocks = kit.stored(coded(docs, held_out), "lm-blocks")
     tables = word_tables(blocks)
     totals = kit.stored(tables.where("n > 0").groupBy("hash").agg(F.sum("n").alias("n"), F.first("rare").alias("rare")), "lm-counts")
     ends = blocks.select(F.coalesce(F.sum(F.size(F.filter("docs", lambda d: ~d["held_out"]))), F.lit(0)).alias("n")).first()["n"]
@@ -239,4 +234,4 @@ def scores(docs: DataFrame, held_out, trains) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """Learns from documents whose id's crc32 modulo 7 is not 2."""
-    return scores(docs.select("doc_id", "text"), kit.fold(F.col("doc_id"), 7) == 2, kit.share(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 11) * TRAIN_ONE_IN < 1)
+    return scores(docs.select("doc_id", "text"), kit.fold(F.col("doc_id"), 7) == 2)

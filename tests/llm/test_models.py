@@ -141,6 +141,18 @@ def test_recurrent_model_beats_counts(larger):
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got) * 0.98
 
 
+def test_every_block_trains_on_all_its_documents(spark, monkeypatch):
+    """Many small blocks: the own word of each document that is not held out has moved."""
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 400)
+    docs = spark.createDataFrame([(i, f"word{i} and some more words of text {i} " * 3) for i in range(60)], "doc_id long, text string").repartition(2)
+    got = {}
+    trained = lm.trained
+    monkeypatch.setattr(lm, "trained", lambda blocks, corpus: got.setdefault("weights", trained(got.setdefault("blocks", blocks), got.setdefault("corpus", corpus))))
+    assert lm.report(docs).count() == 60 and got["blocks"].count() > 10
+    moved = (np.abs(gru.Net(got["weights"]).x - got["corpus"].net.x) > 1e-6).any(axis=1)
+    assert len(got["corpus"].top_hashes) > 100 and moved[: len(got["corpus"].top_hashes) + 1].all()
+
+
 def test_states_are_carried_and_probabilities_sum_to_one():
     rng = np.random.default_rng(2)
     net = gru.Net.fresh(np.full(gru.WORDS // gru.IN_CLASS + gru.RARE, 1 / (gru.WORDS // gru.IN_CLASS + gru.RARE)), np.full((gru.WORDS // gru.IN_CLASS, gru.IN_CLASS), 1 / gru.IN_CLASS))
