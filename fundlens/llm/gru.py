@@ -165,29 +165,35 @@ def score(net: Net, streams: Streams, cls: np.ndarray, inside: np.ndarray) -> np
 
 
 def train(net: Net, memory: np.ndarray, streams: Streams, cls: np.ndarray, inside: np.ndarray) -> float:
-    """One pass of truncated backpropagation, WINDOW steps back; Adagrad with its memory. Returns the mean loss. Lanes' odd ends are left."""
+    """One pass of truncated backpropagation, WINDOW steps back; Adagrad with its memory. Returns the mean loss.
+
+    A lane's last window is shorter: its missing steps are masked, so every token counts once.
+    """
     grads = Net(np.zeros_like(net.flat))
     h = np.zeros((len(streams.lanes), HIDDEN), np.float32)
     loss, seen = 0.0, 0
     for a in range(0, int(streams.lengths[0]) if len(streams.lengths) else 0, WINDOW):
-        n = int((streams.lengths >= a + WINDOW).sum())
-        if not n:
-            break
-        at = streams.window(a, a + WINDOW, n)
+        n = int((streams.lengths > a).sum())
+        steps = min(WINDOW, int(streams.lengths[0]) - a)
+        at = np.zeros((steps, n), np.int64)
+        real = np.arange(a, a + steps)[:, None] < streams.lengths[None, :n]
+        at.T[real.T] = np.concatenate([lane[a : a + steps] for lane in streams.lanes[:n]])
         words, fresh = streams.inputs[at], streams.first[at]
         h, kept, states = h[:n], [], []
-        for t in range(WINDOW):
+        for t in range(steps):
             h = np.where(fresh[t][:, None], np.float32(0), h)
             h, k = net.step(words[t], h)
             kept.append(k)
             states.append(h)
-        p = at.ravel()
-        lp, dh = net.log_p(np.concatenate(states), cls[p], inside[p], grads)
+        p, mask = at[real], real.ravel()
+        lp, some_dh = net.log_p(np.concatenate(states)[mask], cls[p], inside[p], grads)
         loss -= lp.sum()
         seen += len(p)
-        dh = dh.reshape(WINDOW, n, HIDDEN)
-        back, dx = np.zeros((n, HIDDEN), np.float32), np.empty((WINDOW, n, 3 * HIDDEN), np.float32)
-        for t in range(WINDOW - 1, -1, -1):
+        dh = np.zeros((steps * n, HIDDEN), np.float32)
+        dh[mask] = some_dh  # what is masked comes after a lane's tokens and sends nothing back
+        dh = dh.reshape(steps, n, HIDDEN)
+        back, dx = np.zeros((n, HIDDEN), np.float32), np.empty((steps, n, 3 * HIDDEN), np.float32)
+        for t in range(steps - 1, -1, -1):
             before, z, r, m, un = kept[t]
             d = dh[t] + back
             dn = d * (1 - z) * (1 - m * m)
@@ -198,12 +204,12 @@ def train(net: Net, memory: np.ndarray, streams: Streams, cls: np.ndarray, insid
             du[:, 2 * HIDDEN :] *= r
             grads.u += before.T @ du
             back = (d * z + du @ net.u.T) * ~fresh[t][:, None]
-        flat_in = words.ravel()
+        flat_in, dx = words[real], dx[real]
         order = np.argsort(flat_in, kind="stable")
         some, starts = np.unique(flat_in[order], return_index=True)
-        grads.x[some] += np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
+        grads.x[some] += np.add.reduceat(dx[order], starts, axis=0)
         g = grads.flat
-        g /= n
+        g /= len(p) / WINDOW
         memory += g * g
         net.flat -= RATE * g / (np.sqrt(memory) + 1e-4)
         g[:] = 0

@@ -188,6 +188,24 @@ def test_gradients():
     assert last < 0.6 * first
 
 
+def test_last_windows_train():
+    """Lanes of any length: every input leaves a trace, that of a padded lane is the one it leaves alone."""
+    def memory_of(*sizes):
+        net = gru.Net.fresh(np.full(gru.WORDS // gru.IN_CLASS + gru.RARE, 0.01), np.full((gru.WORDS // gru.IN_CLASS, gru.IN_CLASS), 0.02))
+        rng = np.random.default_rng(1)
+        net.c[:], net.w[:] = rng.normal(0, 1, net.c.shape), rng.normal(0, 1, net.w.shape)
+        memory, words = np.zeros_like(net.flat), np.concatenate([np.arange(1, n + 1) + 100 * k for k, n in sizes])
+        bounds = np.append(0, np.cumsum([n for _, n in sizes]))
+        loss = gru.train(net, memory, gru.Streams(words, bounds, len(sizes)), words // gru.IN_CLASS, words % gru.IN_CLASS)
+        assert loss > 0
+        return np.sqrt(gru.Net(memory).x)
+
+    for n in (2, 15, 17, 40):
+        assert memory_of((1, n))[101 : 100 + n].any(axis=1).all()
+    both, alone = memory_of((1, 10), (2, 4)), memory_of((2, 4))
+    assert np.allclose(both[201:204] * 14, alone[201:204] * 4, rtol=1e-3, atol=1e-6) and alone[201:204].any(axis=1).all()
+
+
 # -- top-k ----------------------------------------------------------------------------------------------------
 
 
