@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -17,7 +18,6 @@ WINDOW_WORDS = 4
 WINDOW_BYTES = 256
 LEVEL = 3
 ORDINARY_BYTES = 8192
-TOXIC_BYTES = 1024
 #: Bytes of the strings whose frequency in toxic and ordinary training texts is compared.
 GRAM = 6
 STEPS = (1, 2, 3, 4, 5, 6)
@@ -78,9 +78,9 @@ def telling_strings(texts: list[tuple[str, int]]) -> list[bytes]:
     joined = [(b" " + b" ".join((t or "").encode("utf-8", "replace").translate(_LETTERS).split()) + b" ", y) for t, y in texts]
     seen, counts, totals = set(), (Counter(), Counter()), [0, 0]
     for b, y in joined:
-        if b[:48] in seen or b[-48:] in seen:  # copies and near copies count once
+        if (copy := (y, blake2b(b, digest_size=16).digest())) in seen:  # copies within a class count once
             continue
-        seen |= {b[:48], b[-48:]}
+        seen.add(copy)
         totals[y] += 1
         counts[y].update({w[i : i + GRAM] for w in (b" " + v + b" " for v in set(b.split())) for i in range(max(1, len(w) - GRAM + 1))})
     n0, n1 = totals
@@ -91,7 +91,7 @@ def telling_strings(texts: list[tuple[str, int]]) -> list[bytes]:
         b = counts[0][gram]
         p = (a + b) / (n0 + n1)
         spread = max(n1 * p * (1 - p) * n0 / (n0 + n1), 1e-9) ** 0.5
-        if a >= 3 and a >= 0.01 * n1 and (a - n1 * p) / spread > 5 and a / n1 > 4 * (b + 1) / (n0 + 1):
+        if a >= 3 and (a - n1 * p) / spread > 5 and a / n1 > 4 * (b + 1) / (n0 + 1):
             telling.add(gram)
     found: Counter = Counter()
     for b, y in joined:
@@ -102,7 +102,7 @@ def telling_strings(texts: list[tuple[str, int]]) -> list[bytes]:
                 while hits and hits[0] <= end:
                     end = hits.pop(0) + GRAM
                 found[b[start : max(end, start + 9)]] += 1
-    return [s for s, _ in found.most_common(400)][::-1]
+    return [s for s, _ in found.most_common()][::-1]
 
 
 def train(texts: list[tuple[str, int]], prior: float) -> Model | None:
@@ -119,7 +119,7 @@ def train(texts: list[tuple[str, int]], prior: float) -> Model | None:
         ordinary = zstandard.train_dictionary(ORDINARY_BYTES, plain, k=24, d=6, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too little text for entropy tables: its bytes are the dictionary
         ordinary = b"".join(plain)[-ORDINARY_BYTES:]
-    toxic = ordinary + b"".join(telling_strings(halves[0]))[-TOXIC_BYTES:]
+    toxic = ordinary + b"".join(telling_strings(halves[0]))
     if len(ordinary) < 8:
         return None
     model = Model(ordinary, toxic, np.zeros(1), np.ones(1), np.zeros(1))

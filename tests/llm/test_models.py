@@ -105,6 +105,17 @@ def test_toxicity_of_held_out_documents(larger):
     assert sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) >= 0.75 * len(pos) * len(neg)
 
 
+def test_telling_strings_of_texts_with_common_lines_and_many_slurs():
+    """A header that all texts share hides none of them; rare and many telling words all come into the dictionary."""
+    letters = "abcdefghijklmnopqrst"
+    bad = [f"grumph{a}{b}zork" for a in letters for b in letters]
+    header = "this line stands at the head of every text of this one source " * 2
+    texts = [(f"{header}plain text number {letters[i % 20] * 3} {letters[i // 20 % 20] * 4} {letters[i // 400] * 5}", 0) for i in range(1200)]
+    texts += [(f"{header}{bad[i % 400]} and {bad[(i + 1) % 400]} {letters[i // 400] * 6}", 1) for i in range(1600)]
+    found = b"".join(toxicity.telling_strings(texts))
+    assert sum(w.encode() in found for w in bad) == 400 and b"every text" not in found
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     assert len(rows(toxicity.report(odd, labels))) == odd.count()
