@@ -116,6 +116,40 @@ def test_telling_strings_of_texts_with_common_lines_and_many_slurs():
     assert sum(w.encode() in found for w in bad) == 400 and b"every text" not in found
 
 
+def held_out_auc(got, truth):
+    held = [(r["score"], truth[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in truth]
+    pos, neg = np.array([s for s, y in held if y]), np.array([s for s, y in held if not y])
+    return ((pos[:, None] > neg).mean() + (pos[:, None] == neg).mean() / 2)
+
+
+def test_near_copies_of_toxic_texts_teach_once(spark):
+    """Fifteen texts of each class in ten near copies each: held-out accuracy stays within 0.1 of the clean run."""
+    at = {n: spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels")}
+    docs, labels = at["documents"].join(at["labels"].select("doc_id"), "doc_id"), at["labels"]
+    truth = {r["doc_id"]: r["toxic"] for r in rows(labels) if r["toxic"] is not None}
+    learning = [r for r in rows(docs.join(labels, "doc_id")) if zlib.crc32(str(r["doc_id"]).encode()) % 5 and len((r["text"] or "").split()) > 60]
+    base = [r for y in (0, 1) for r in [x for x in learning if x["toxic"] == y][:15]]
+    free = iter(i for i in range(10**6, 10**7) if zlib.crc32(str(i).encode()) % 5)
+    copies = []
+    for r in base:
+        words = r["text"].split(" ")
+        for k in range(10):
+            copies.append((next(free), " ".join([*words[: k + 1], f"edit{k}", *words[k + 1 :]]), r["toxic"]))
+    more = spark.createDataFrame(copies, "doc_id long, text string, toxic long")
+    clean = held_out_auc(rows(toxicity.report(docs, labels)), truth)
+    copied = held_out_auc(rows(toxicity.report(docs.select("doc_id", "text").union(more.select("doc_id", "text")), labels.select("doc_id", "toxic").union(more.select("doc_id", "toxic")))), truth)
+    assert clean > 0.85 and copied > clean - 0.1
+
+
+def test_one_of_each_group_of_alike_texts():
+    rng = np.random.default_rng(1)
+    a, b, c = (rng.integers(0, 1 << 60, toxicity.SKETCH, dtype=np.uint64) for _ in range(3))
+    near = np.where(np.arange(toxicity.SKETCH) < 80, a, c)
+    got = toxicity.one_of_each([5, 4, 9, 7, 1], [1, 1, 1, 1, 0], np.array([a, near, b, c, a]))
+    assert set(got) == {4, 9, 7, 1} and set(got.values()) <= {0, 1}
+    assert toxicity.one_of_each([], [], np.empty((0, toxicity.SKETCH), np.uint64)) == {}
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     assert len(rows(toxicity.report(odd, labels))) == odd.count()
