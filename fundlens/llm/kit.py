@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,15 @@ LOWER[0x41:0x5B] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or one of this process where none is set."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("fundlens.scratch.dir", None)
+    """The folder that driver and executors share: `spark.checkpoint.dir` or the context's checkpoint folder.
+
+    Only in a local session, where the executors are this machine, a temporary folder stands in for it.
+    """
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or spark.conf.get("fundlens.scratch.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="fundlens-")
         spark.conf.set("fundlens.scratch.dir", path)
     return path.rstrip("/")
@@ -40,13 +48,40 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Removes a scratch table, wherever the cluster keeps it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables stored inside are deleted at the end, but for those stored with keep."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            deleted(spark, path)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The frame written to the shared folder and read again: lineage ends here and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
+    if _scopes and not keep:
+        _scopes[-1].append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def width(spark: SparkSession) -> int:
+    """Parts for data that are dealt out by a key."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """The frame with columns c0, c1, ..., so that no name of its own can clash, and its names."""
     return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), df.columns

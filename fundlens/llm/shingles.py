@@ -16,6 +16,12 @@ NUM, DEN = 4, 5
 SAMPLE_TEXTS = 20_000
 COMMON = 200_000
 COMMON_FROM = 4
+#: Sets of one shingle beyond which it goes to the end of the order; sets compared at once, and pairs of one set per task.
+HOT = 1024
+TILE = 4096
+SPREAD = 4096
+#: Sets that a task remembers to have given.
+REMEMBERED = 1_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
@@ -36,27 +42,36 @@ def ragged_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def sets(texts: DataFrame) -> DataFrame:
-    """doc_id, `_h`, `_fp` (a hash of the text's shingle set) and s, the set, for doc_id, text and `_h`."""
+    """doc_id, `_h`, `_fp` (a hash of the text's shingle set) and s, the set, for doc_id, text and `_h`; s is null where the task gave the same set before."""
     from xxhash import xxh64_intdigest
 
     schema = texts.select("doc_id", "_h", F.lit(0).cast("long").alias("_fp"), F.array(F.lit(0).cast("long")).alias("s")).schema
+    schema["s"].nullable = True
 
     def run(batches, out):
+        seen: set[int] = set()
         for batch in batches:
             for rows, data, offsets in kit.chunks(batch):
                 found = shingle_sets(data, offsets)
-                names = np.array([xxh64_intdigest(x.tobytes(), 42) for x in found], np.uint64).view(np.int64)
-                yield kit.record(out, [rows.column("doc_id"), rows.column("_h"), names, ragged_array(found, out.field("s").type)])
+                names = [xxh64_intdigest(x.tobytes(), 42) for x in found]
+                new = [not (k in seen or seen.add(k)) for k in names]
+                some = pa.array([x if n else None for x, n in zip(found, new, strict=True)], out.field("s").type)
+                yield kit.record(out, [rows.column("doc_id"), rows.column("_h"), np.array(names, np.uint64).view(np.int64), some])
+                if len(seen) > REMEMBERED:
+                    seen.clear()
 
     return kit.mapped(texts, run, schema)
 
 
-def common(prints: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample hold, sorted, and in how many."""
-    n = max(prints.count(), 1)
-    some = prints.where(kit.share(F.col("_fp"), 5) * n < SAMPLE_TEXTS).select(F.explode("s").alias("t")).groupBy("t").count().where(F.col("count") >= COMMON_FROM)
-    top = some.orderBy(F.desc("count"), "t").limit(COMMON).toArrow()
-    t, c = top.column("t").to_numpy(), top.column("count").to_numpy()
+def common(one: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample hold, sorted, and in how many. They set an order, not the result."""
+    n = max(one.count(), 1)
+    some = one.where(kit.share(F.col("_fp"), 5) * n < SAMPLE_TEXTS).dropDuplicates(["_fp"])
+    top = some.select(F.explode("s").alias("t")).groupBy("t").count().where(F.col("count") >= COMMON_FROM).orderBy(F.desc("count"), "t").limit(COMMON).toArrow()
+    return ordered(top.column("t").to_numpy(), top.column("count").to_numpy())
+
+
+def ordered(t: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(t)
     return t[order], c[order]
 
@@ -74,52 +89,168 @@ def prefix(s: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return s[np.argsort(often, kind="stable")[:keep]]
 
 
-def cells(prints: DataFrame) -> DataFrame:
-    """t, `_fp`, n: the prefix shingles that at least two sets have, with the name and size of those, and p, pn: one of these sets."""
-    shared = prints.sparkSession.sparkContext.broadcast(common(prints))
+def fits(n, i, m, j):
+    """Whether sets of n and m shingles whose first shared shingle is number i of one and j of the other can be that similar.
+
+    Sizes must agree, and what follows that shingle must suffice for the overlap that the similarity asks for. Columns or arrays.
+    """
+    least = F.least if hasattr(n, "alias") else np.minimum
+    greatest = F.greatest if hasattr(n, "alias") else np.maximum
+    return (least(n, m) * DEN >= greatest(n, m) * NUM) & (least(n - i, m - j) * (NUM + DEN) >= (n + m) * NUM)
+
+
+def shared(t: np.ndarray, f: np.ndarray, w: np.ndarray, held: list) -> np.ndarray | None:
+    """Rows (t, f, w, p, pw) of the shingles that two different sets hold, from rows in order of (t, f).
+
+    held: the first row of the last shingle so far, whether it was given, and its last set. Each row comes with the first of its shingle.
+    """
+    if held:
+        (t0, f0, w0), given, last = held
+        new = ~((t == t0) & (f == last))
+        t, f, w = t[new], f[new], w[new]
+        if not len(t):
+            return None
+        if t[0] == t0:
+            t, f, w = np.append(t0, t), np.append(f0, f), np.append(w0, w)
+        else:
+            given = False
+    else:
+        given = False
+        if not len(t):
+            return None
+    fresh = np.append(True, (t[1:] != t[:-1]) | (f[1:] != f[:-1]))
+    t, f, w = t[fresh], f[fresh], w[fresh]
+    edge = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+    sizes = np.diff(np.append(edge, len(t)))
+    emit = np.repeat(sizes > 1, sizes)
+    if given:
+        emit[0] = False
+    first = np.repeat(edge, sizes)
+    held[:] = [(t[edge[-1]], f[edge[-1]], w[edge[-1]]), bool(sizes[-1] > 1 or (given and len(edge) == 1)), f[-1]]
+    return np.array([t[emit], f[emit], w[emit], f[first[emit]], w[first[emit]]])
+
+
+def cells(one: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """t, `_fp`, w, p, pw: the prefix shingles that at least two sets have, with those sets and one (p) of them.
+
+    w holds a set's size and the place of the shingle in it. One exchange by shingle, sorted; shingles of one set, which
+    are most, end there, and a shingle of any number of sets is read in a stream.
+    """
+    sent = one.sparkSession.sparkContext.broadcast(order)
 
     def run(batches, out):
         for batch in batches:
             names, column = batch.column("_fp").to_numpy(), batch.column("s")
             lists = [column[i].values.to_numpy() for i in range(batch.num_rows)]
-            parts = [prefix(s, *shared.value) if len(s) else s for s in lists]
+            parts = [prefix(s, *sent.value) if len(s) else s for s in lists]
             k = np.array([len(x) for x in parts], np.int64)
-            yield kit.record(out, [np.concatenate([*parts, np.empty(0, np.int64)]), np.repeat(names, k), np.repeat([len(s) for s in lists], k)])
+            place = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+            yield kit.record(out, [np.concatenate([*parts, np.empty(0, np.int64)]), np.repeat(names, k), (np.repeat([len(s) for s in lists], k).astype(np.int64) << 32) | place])
+
+    def scan(batches, out):
+        held: list = []
+        for batch in batches:
+            found = shared(*(batch.column(c).to_numpy() for c in ("t", "_fp", "w")), held)
+            if found is not None and found.shape[1]:
+                yield kit.record(out, list(found))
+
+    rows = kit.mapped(one.select("_fp", "s"), run, "t long, _fp long, w long")
+    return kit.mapped(rows.repartition(kit.width(one.sparkSession), "t").sortWithinPartitions("t", "_fp"), scan, "t long, _fp long, w long, p long, pw long")
 
-    rows = kit.stored(kit.mapped(prints.select("_fp", "s"), run, "t long, _fp long, n int").distinct(), "prefixes")
-    pivot = F.min(F.struct("_fp", "n"))
-    busy = rows.groupBy(F.col("t").alias("_t")).agg(pivot.alias("p"), F.max("_fp").alias("last")).where("p._fp <> last").select("_t", F.col("p._fp").alias("p"), F.col("p.n").alias("pn"))
-    return kit.stored(rows.join(busy, F.col("t") == F.col("_t")).drop("_t"), "cells")
 
+def met(one: DataFrame) -> DataFrame:
+    """The cells. Where shingles turn out to be held by many sets although no sample showed it, they go to the end of the order and the sets meet anew."""
+    order = common(one)
+    found = kit.stored(cells(one, order), "cells")
+    hot = found.groupBy("t").count().where(F.col("count") > HOT).orderBy(F.desc("count"), "t").limit(COMMON).toArrow()
+    t, c = hot.column("t").to_numpy(), hot.column("count").to_numpy()
+    new = ~np.isin(t, order[0])
+    if not new.any():
+        return found
+    return kit.stored(cells(one, ordered(np.append(order[0], t[new]), np.append(order[1], c[new] + order[1].max(initial=0)))), "cells")
 
-def sizes_fit(a: str, b: str):
-    return F.least(a, b) * DEN >= F.greatest(a, b) * NUM
 
+def verified(pairs: DataFrame, one: DataFrame) -> DataFrame:
+    """(a, b) of the pairs whose sets have the similarity, by the sets themselves.
 
-def verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """(a, b) of the pairs whose sets have the similarity, by the sets themselves."""
+    A set that is in many pairs is laid out several times, so its pairs are compared by several tasks.
+    """
     pairs = kit.stored(pairs.distinct(), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("_n")).distinct()
-    nodes = kit.stored(prints.select("_fp", "s").join(needed, F.col("_fp") == F.col("_n"), "left_semi").groupBy("_fp").agg(F.first("s").alias("s")), "sets")
-    left, right = nodes.select(F.col("_fp").alias("a"), F.col("s").alias("x")), nodes.select(F.col("_fp").alias("b"), F.col("s").alias("y"))
+    nodes = one.select("_fp", "s").join(needed, F.col("_fp") == F.col("_n"), "left_semi").groupBy("_fp").agg(F.first("s").alias("s"))
+    out = pairs
+    for end, name in (("a", "x"), ("b", "y")):
+        other = "b" if end == "a" else "a"
+        busy = pairs.groupBy(F.col(end).alias("_e")).count().where(F.col("count") > SPREAD).select("_e", F.ceil(F.col("count") / SPREAD).cast("int").alias("_parts"))
+        laid = nodes.join(busy, F.col("_fp") == F.col("_e"), "left").select(F.col("_fp").alias("_f"), F.col("s").alias(name), F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part"))
+        out = out.join(busy, F.col(end) == F.col("_e"), "left").withColumn("_mine", F.pmod(F.xxhash64(other), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_e", "_parts")
+        out = out.join(laid, (F.col(end) == F.col("_f")) & (F.col("_mine") == F.col("_part"))).drop("_f", "_part", "_mine")
     both = F.size(F.array_intersect("x", "y"))
-    met = pairs.join(left, "a").join(right, "b").where(both * DEN >= (F.size("x") + F.size("y") - both) * NUM)
-    return kit.stored(met.select("a", "b"), "similar")
+    alike = out.where(both * DEN >= (F.size("x") + F.size("y") - both) * NUM)
+    return kit.stored(alike.select("a", "b"), "similar")
+
+
+def meetings(placed: DataFrame) -> DataFrame:
+    """(a, b) of the sets that share a shingle t, can be alike and are not joined yet (r: what they are joined to).
+
+    placed: t, `_fp`, w, r. Shingles whose sets are all joined are left out; sets of a shingle of over TILE are dealt out as pairs of tiles.
+    """
+    busy = placed.groupBy(F.col("t").alias("_t")).agg(F.count("*").alias("c"), F.min("r").alias("low"), F.max("r").alias("high")).where("low <> high")
+    tiles = F.ceil(F.col("c") / TILE).cast("int")
+    rows = placed.join(busy, F.col("t") == F.col("_t")).select("t", "_fp", "w", "r", tiles.alias("tiles"), F.pmod(F.xxhash64("_fp", F.lit(7)), tiles).cast("int").alias("mine"))
+    dealt = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        F.xxhash64("t", F.least("mine", "with"), F.greatest("mine", "with")).alias("cell"), "t", "_fp", "w", "r", ((F.col("mine") == F.col("with")).cast("int") * 2 + (F.col("mine") > F.col("with")).cast("int")).cast("byte").alias("side")
+    )
+
+    def pairs(cell: list[np.ndarray]):
+        f, w, r, side = cell
+        order = np.argsort(w >> 32, kind="stable")
+        f, w, r, side = f[order], w[order], r[order], side[order]
+        n, i = w >> 32, w & 0xFFFFFFFF
+        to = np.searchsorted(n * NUM, n * DEN, "right")  # sizes beyond are too large for the smaller one
+        step = max(1, (1 << 20) // max(len(f), 1))
+        for at in range(0, len(f), step):
+            a = np.arange(at, min(at + step, len(f)))
+            sizes = np.maximum(to[a] - a - 1, 0)
+            x = np.repeat(a, sizes)
+            y = kit.ragged(a + 1, sizes)
+            good = (r[x] != r[y]) & ((side[x] == 2) | (side[x] != side[y])) & fits(n[x], i[x], n[y], i[y])
+            if good.any():
+                yield f[x[good]], f[y[good]]
+
+    def run(batches, out):
+        held: list = [np.empty(0, np.int64)] * 5
+        names = ("cell", "_fp", "w", "r", "side")
+
+        def whole(parts):
+            edge = np.flatnonzero(np.append(True, parts[0][1:] != parts[0][:-1]))
+            for s, e in zip(edge, np.append(edge[1:], len(parts[0])), strict=True):
+                for x, y in pairs([p[s:e] for p in parts[1:]]):
+                    yield kit.record(out, [np.minimum(x, y), np.maximum(x, y)])
+
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names, strict=True)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last cell may go on
+            if cut:
+                yield from whole([h[:cut] for h in held])
+                held = [h[cut:] for h in held]
+        if len(held[0]):
+            yield from whole(held)
+
+    spark = placed.sparkSession
+    return kit.mapped(dealt.drop("t").repartition(kit.width(spark), "cell").sortWithinPartitions("cell"), run, "a long, b long")
 
 
-def roots(prints: DataFrame) -> DataFrame:
-    """(node, root) of all sets that links of the similarity join with others. prints: `_fp`, s.
+def roots(one: DataFrame) -> DataFrame:
+    """(node, root) of all sets that links of the similarity join with others. one: `_fp`, s.
 
     First every set meets one of each shingle it shares; then all that share a shingle and are not joined yet meet, so a
-    group of near copies makes few pairs. Sets that share common prefix shingles without being alike meet in pairs.
+    group of near copies makes few pairs.
     """
-    rows = cells(prints)
-    first = verified(rows.where(F.col("_fp") != F.col("p")).where(sizes_fit("n", "pn")).select(F.col("_fp").alias("a"), F.col("p").alias("b")), prints)
-    placed = rows.join(components(first), F.col("_fp") == F.col("node"), "left").select("t", "_fp", "n", F.coalesce("root", "_fp").alias("r"))
-    placed = kit.stored(placed, "placed")
-    other = placed.select(F.col("t").alias("t2"), F.col("_fp").alias("b"), F.col("n").alias("m"), F.col("r").alias("q"))
-    rest = placed.join(other, (F.col("t") == F.col("t2")) & (F.col("_fp") < F.col("b")) & (F.col("r") != F.col("q")) & sizes_fit("n", "m"))
-    second = verified(rest.select(F.col("_fp").alias("a"), "b"), prints)
+    rows = met(one)
+    first = verified(rows.where(F.col("_fp") != F.col("p")).where(fits(*(c for w in ("w", "pw") for c in (F.shiftright(w, 32), F.col(w).bitwiseAND(F.lit(0xFFFFFFFF)))))).select(F.least("_fp", "p").alias("a"), F.greatest("_fp", "p").alias("b")), one)
+    placed = kit.stored(rows.join(components(first), F.col("_fp") == F.col("node"), "left").select("t", "_fp", "w", F.coalesce("root", "_fp").alias("r")), "placed")
+    second = verified(meetings(placed), one)
     return components(first.union(second))
 
 
@@ -127,8 +258,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each group, that of the smallest doc_id, with the columns of docs; repeated rows of it become one.
 
     Groups are what links of five-word similarity 0.8 or more join. Texts of equal shingle sets are one set from the
-    start; null, empty and word-less texts have the empty set; ids, null or repeated, play no part in the grouping.
+    start; null, empty and word-less texts have the empty set; ids, null or repeated, play no part in the grouping. Texts
+    of any length give whole sets, and an empty table gives no rows. Tables on the way are deleted before this returns.
     """
     rows, names = simhash.keyed(docs)
-    prints = kit.stored(sets(simhash.texts(rows, names)), "shingles")
-    return simhash.one_of_each(rows, names, prints.drop("s"), roots(prints))
+    with kit.scratch():
+        prints = kit.stored(sets(simhash.texts(rows, names)), "shingles")
+        return simhash.one_of_each(rows, names, prints.drop("s"), roots(prints.where("s is not null").select("_fp", "s")))

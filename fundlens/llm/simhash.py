@@ -237,7 +237,7 @@ def one_of_each(rows: DataFrame, names: list[str], prints: DataFrame, roots: Dat
     firsts = nodes.join(roots, F.col("_fp") == F.col("node"), "left").groupBy(F.coalesce("root", "_fp").alias("_root")).agg(F.min("first").alias("first"))
     # rows that come more than once are rare: only they are brought together
     twice = prints.groupBy("_h").count().where("count > 1").select(F.col("_h").alias("_twice"))
-    keep = kit.stored(firsts.select(F.col("first._h").alias("_keep")).join(twice, F.col("_keep") == F.col("_twice"), "left").select("_keep", F.col("_twice").isNotNull().alias("_many")), "keep")
+    keep = kit.stored(firsts.select(F.col("first._h").alias("_keep")).join(twice, F.col("_keep") == F.col("_twice"), "left").select("_keep", F.col("_twice").isNotNull().alias("_many")), "keep", keep=True)
     kept = rows.join(keep, F.col("_h") == F.col("_keep"))
     cells = [f"c{i}" for i in range(len(names))]
     once = kept.where("not _many").select(*cells)
