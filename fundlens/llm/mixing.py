@@ -87,7 +87,8 @@ def plan_mix(rows: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS, epochs:
     return (
         b.join(last.select("_ls", "end_range"), F.col("_s").eqNullSafe(F.col("_ls")), "left")
         .join(ends, F.col("_s").eqNullSafe(F.col("_es")), "left")
-        .select("_s", "source_size", "target", "whole", "end_range", "end")
+        # a source that is taken as often as it may be has no partial epoch, not for empty documents either
+        .select("_s", "source_size", "target", "whole", F.when(F.col("whole") < epochs, F.col("end_range")).alias("end_range"), "end")
     )
 
 

@@ -283,3 +283,47 @@ def test_top_k_of_odd_vectors(spark):
     assert topk.report(df.where("false")).collect() == []
     few = df.where("vec_id in (0, 1, 2)")
     assert [r["rank"] for r in topk.report(few).orderBy("rank").collect()] == [1, 2]
+
+
+def test_top_k_of_dirty_and_repeated_queries(spark):
+    """A bad row of a query id hides no good one, and both good rows of an id are asked."""
+    vectors = [(50, [None, 1.0]), (50, [2.0, 1.0]), (1, [1.0, 0.0]), (2, [3.0, 0.0]), (100, [0.0, 1.0]), (100, [-1.0, 0.0]), (150, [float("inf"), 0.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(map(tuple, topk.report(df).collect()))
+    unit = 256 * 256
+    assert got[:4] == [(50, 1, 2, 6 * unit), (50, 2, 1, 2 * unit), (50, 3, 100, unit), (50, 4, 100, -2 * unit)]
+    assert [r[2:] for r in got[4:]] == [(50, unit), (1, 0), (2, 0), (1, -unit), (50, -2 * unit)] and {r[0] for r in got[4:]} == {100}
+
+
+@pytest.mark.parametrize("block", [1, 8192])
+def test_top_k_of_huge_components(spark, block):
+    """floor(256 x) is exact at any size; only a score beyond a long is held to it."""
+    huge = [(50, [600_000.0, 3.0]), (100, [700_000.0, 1.0]), (1, [2.0**40, 1.0]), (2, [1e300, 0.0]), (3, [-(2.0**60), 5.0]), (4, [0.25, -0.5]), (150, [1e17, 1.5])]
+    df = spark.createDataFrame(huge, "vec_id long, embedding array<double>").repartition(2)
+    exact = {i: [int(x) * 256 if abs(x) > 2**50 else math.floor(256 * x) for x in v] for i, v in huge}
+    want = []
+    for q in (50, 100, 150):
+        scored = sorted((-max(min(sum(a * b for a, b in zip(exact[q], v, strict=True)), 2**63 - 1), -(2**63)), i) for i, v in exact.items() if i != q)
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:5], 1)]
+    assert sorted(map(tuple, topk.search(df, df.where("vec_id % 50 = 0"), block=block).collect())) == sorted(want)
+
+
+def test_threshold_rises_and_postings_stay_unread():
+    """With one strong dimension most vectors are never weighed."""
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.permutation(5000) * 1000, rng.integers(-3, 4, (5000, 7))])
+    shard = topk.Shard(np.arange(5000), x)
+    query = np.array([1000, 1, 2, -1, 1, 0, 2, 1])
+    weighed, plain = [], shard.x
+
+    class Counted(np.ndarray):
+        def __getitem__(self, key):
+            if isinstance(key, tuple) and isinstance(key[0], np.ndarray) and key[0].ndim == 2:
+                weighed.append(key[0].size)
+            return np.asarray(super().__getitem__(key))
+
+    shard.x = plain.view(Counted)
+    rows_, scores = shard.top(query, None, 5)
+    best = np.lexsort((np.arange(5000), -(plain @ query)))[:5]
+    assert shard.ids[rows_].tolist() == best.tolist() and scores.tolist() == (plain @ query)[best].tolist()
+    assert sum(weighed) < 3000

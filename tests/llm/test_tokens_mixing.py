@@ -135,3 +135,11 @@ def test_word_hashes_do_not_depend_on_place():
     data = np.frombuffer(b"alpha beta alpha" + b" beta" * 10, np.uint8)
     hashes, bounds = kit.hashed_words(data, np.array([0, 16, len(data)]), kit.NOT_BLANK)
     assert bounds.tolist() == [0, 3, 13] and hashes[0] == hashes[2] and len(set(hashes[[1, *range(3, 13)]].tolist())) == 1
+
+
+def test_empty_documents_of_a_source_taken_in_full(spark):
+    """A source that is taken three times gives its empty documents three times, not four."""
+    docs = spark.createDataFrame([(i, "" if i % 2 else "one two", "small") for i in range(10)] + [(100 + i, "word " * 50, "tall") for i in range(10)], "doc_id long, text string, source string")
+    plan = {r["doc_id"]: (r["copies"], r["source_size"], r["target"]) for r in rows(mixing.mix_plan(docs))}
+    assert all(plan[i][2] == 3 * plan[i][1] for i in range(10)) and {plan[i][0] for i in range(10)} == {3}
+    assert mixing.mixed(docs).where("source = 'small'").count() == 30
