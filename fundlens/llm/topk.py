@@ -14,6 +14,8 @@ BLOCK = 8192
 SHARD = 8192
 #: Rows of a posting that are probed before the threshold is looked at again.
 PIECE = 1024
+#: Terms that new rows are probed by one after the other; eight at a time.
+PROBED = 16
 #: Sums of products below this are exact in 64 bits; larger components are multiplied as Python integers.
 EXACT = 1 << 62
 _LONG = (1 << 63) - 1
@@ -51,6 +53,11 @@ class Shard:
         self.postings = {}
         if x.dtype == object:
             return
+        self.columns = np.ascontiguousarray(self.x.T)
+        # sums below 2**53 are exact in doubles too, which multiply faster
+        self.rows = self.x.astype(float) if x.shape[1] * self.largest**2 < 1 << 50 else self.x
+        # bits of the rows whose dimension 0 is below, above zero, of dimension 1 below, ...
+        self.member = np.packbits(np.stack([self.columns < 0, self.columns > 0], axis=1).reshape(2 * x.shape[1], len(ids)), axis=1)
         for d in range(x.shape[1]):
             column = self.x[:, d]
             for sign in (1, -1):
@@ -76,7 +83,7 @@ class Shard:
         """
         n = self.x.shape[1]
         query = query[:n] if len(query) >= n else np.append(query, np.zeros(n - len(query), query.dtype))
-        if self.x.dtype == object or query.dtype == object or n * self.largest * largest(query) >= EXACT:
+        if self.x.dtype == object or query.dtype == object or n * self.largest * largest(query) >= (EXACT if self.rows is self.x else 1 << 53):
             return self.plain(query, own, k)
         terms = sorted((-abs(int(q)) * self.postings[d, 1 if q > 0 else -1][1], d) for d, q in enumerate(query.tolist()) if q)
         dims = np.array([d for _, d in terms], np.int64)
@@ -85,18 +92,22 @@ class Shard:
         if own is not None:
             seen[self.ids == own] = True
         best, scores, least = np.empty(0, np.int64), np.empty(0, np.int64), None
+        rest = query.astype(self.rows.dtype)
+        rest[dims[:PROBED]] = 0
 
         def weigh(rows):
             """Brings new rows into the best, and the threshold up."""
             nonlocal best, scores, least
             seen[rows] = True
             partial = np.zeros(len(rows), np.int64)
-            for a in range(0, len(dims), 8):
-                some = dims[a : a + 8]
-                partial += self.x[np.ix_(rows, some)] @ query[some]
+            for a in range(0, min(PROBED, len(dims)), 8):
+                for d in dims[a : a + 8].tolist():
+                    partial += self.columns[d][rows] * query[d]
                 if least is not None:
                     possible = partial + left[min(a + 8, len(dims))] >= least
                     rows, partial = rows[possible], partial[possible]
+            if len(dims) > PROBED:  # what is still competitive meets all other terms at once
+                partial += (self.rows[rows] @ rest).astype(np.int64)
             rows, partial = np.append(best, rows), np.append(scores, partial)
             order = np.lexsort((self.ids[rows], -partial))[:k]
             best, scores = rows[order], partial[order]
@@ -106,18 +117,22 @@ class Shard:
         heads = [self.postings[d, 1 if query[d] > 0 else -1][0][: 4 * k] for d in dims[:4]]
         first = np.unique(np.concatenate([*heads, np.arange(min(len(self.ids), k + 1))]))
         weigh(first[~seen[first]])
-        for i, d in enumerate(dims.tolist()):
-            if least is not None and left[i] < least:
-                return best, scores
-            rows = self.postings[d, 1 if query[d] > 0 else -1][0]
-            # a posting is read piece by piece, so that its own rows raise the threshold for the next
-            for a in range(0, len(rows), PIECE):
-                if least is not None and abs(int(query[d]) * int(self.x[rows[a], d])) + left[i + 1] < least:
-                    break  # what follows in this posting is smaller still
-                piece = rows[a : a + PIECE]
-                piece = piece[~seen[piece]]
-                if len(piece):
-                    weigh(piece)
+        if len(dims):
+            # the strongest posting in growing pieces, until its next components are too small for the threshold
+            rows, a, piece = self.postings[dims[0], 1 if query[dims[0]] > 0 else -1][0], 0, PIECE
+            while a < len(rows) and (least is None or abs(int(query[dims[0]]) * int(self.x[rows[a], dims[0]])) + left[1] >= least):
+                some = rows[a : a + piece]
+                weigh(some[~seen[some]])
+                a, piece = a + piece, piece * 4
+            # then the union of the other essential ones, a half at a time: the threshold rises and the union shrinks
+            keys = [2 * d + (query[d] > 0) for d in dims.tolist()]
+            while True:
+                essential = len(dims) if least is None else int(np.searchsorted(-left[:-1], -least, "right"))
+                union = np.bitwise_or.reduce(self.member[keys[1:essential]], axis=0)
+                rows = np.flatnonzero(np.unpackbits(union, count=len(seen)).view(bool) & ~seen)
+                if not len(rows):
+                    break
+                weigh(rows[: max(PIECE, len(rows) // 2)])
         if least is None or least <= 0:
             rest = np.flatnonzero(~seen)  # vectors in no posting can be among the best
             weigh(rest)
