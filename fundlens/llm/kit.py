@@ -68,12 +68,12 @@ def scratch() -> Iterator[None]:
             deleted(spark, path)
 
 
-def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, keep: bool = False, **options) -> DataFrame:
     """The frame written to the shared folder and read again: lineage ends here and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     if _scopes and not keep:
         _scopes[-1].append((df.sparkSession, path))
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

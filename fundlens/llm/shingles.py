@@ -139,7 +139,7 @@ def cells(one: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     sent = one.sparkSession.sparkContext.broadcast(order)
 
     def run(batches, out):
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             names, column = batch.column("_fp").to_numpy(), batch.column("s")
             lists = [column[i].values.to_numpy() for i in range(batch.num_rows)]
             parts = [prefix(s, *sent.value) if len(s) else s for s in lists]
@@ -208,7 +208,7 @@ def meetings(placed: DataFrame) -> DataFrame:
         f, w, r, side = f[order], w[order], r[order], side[order]
         n, i = w >> 32, w & 0xFFFFFFFF
         to = np.searchsorted(n * NUM, n * DEN, "right")  # sizes beyond are too large for the smaller one
-        step = max(1, (1 << 20) // max(len(f), 1))
+        step = max(1, (1 << 17) // max(len(f), 1))
         for at in range(0, len(f), step):
             a = np.arange(at, min(at + step, len(f)))
             sizes = np.maximum(to[a] - a - 1, 0)
@@ -263,5 +263,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     rows, names = simhash.keyed(docs)
     with kit.scratch():
-        prints = kit.stored(sets(simhash.texts(rows, names)), "shingles")
+        prints = kit.stored(sets(simhash.texts(rows, names)), "shingles", **{"parquet.block.size": 16 << 20, "parquet.enable.dictionary": "false"})
         return simhash.one_of_each(rows, names, prints.drop("s"), roots(prints.where("s is not null").select("_fp", "s")))
