@@ -20,6 +20,8 @@ COMMON_FROM = 4
 HOT = 1024
 TILE = 4096
 SPREAD = 4096
+#: Bits of the map of needed sets.
+BITS = 1 << 23
 #: Sets that a task remembers to have given.
 REMEMBERED = 1_000_000
 
@@ -170,6 +172,17 @@ def met(one: DataFrame) -> DataFrame:
     return kit.stored(cells(one, ordered(np.append(order[0], t[new]), np.append(order[1], c[new] + order[1].max(initial=0)))), "cells")
 
 
+def wanted(one: DataFrame, needed: DataFrame) -> DataFrame:
+    """The sets of the needed prints (`_n`), and a few more: the others are mostly told apart by a bit map of fixed size before they are shuffled.
+
+    The map has BITS bits however many prints are needed, so it may be broadcast; the more bits are set, the less it spares.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c, F.lit(9)), F.lit(BITS))
+    mine = "shiftleft(1L, int(_b & 63))"
+    words = needed.select(bit("_n").alias("_b")).groupBy(F.shiftright("_b", 6).alias("_w")).agg(F.expr(f"bit_or({mine})").alias("_bits"))
+    return one.withColumn("_b", bit("_fp")).join(F.broadcast(words), F.shiftright("_b", 6) == F.col("_w")).where(f"(_bits & {mine}) <> 0").select("_fp", "s")
+
+
 def verified(pairs: DataFrame, one: DataFrame) -> DataFrame:
     """(a, b) of the pairs whose sets have the similarity, by the sets themselves.
 
@@ -177,7 +190,7 @@ def verified(pairs: DataFrame, one: DataFrame) -> DataFrame:
     """
     pairs = kit.stored(pairs.distinct(), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("_n")).distinct()
-    nodes = one.select("_fp", "s").join(needed, F.col("_fp") == F.col("_n"), "left_semi").groupBy("_fp").agg(F.first("s").alias("s"))
+    nodes = wanted(one, needed).join(needed, F.col("_fp") == F.col("_n"), "left_semi").groupBy("_fp").agg(F.first("s").alias("s"))
     out = pairs
     for end, name in (("a", "x"), ("b", "y")):
         other = "b" if end == "a" else "a"
