@@ -112,3 +112,64 @@ def funnel(calls: DataFrame, companies: DataFrame) -> DataFrame:
     for r in rows[1:]:
         out = out.unionByName(r)
     return out.filter("pairs > 0")
+
+
+# -- words shared by activities and descriptions ------------------------------------------------------------------
+
+#: Descriptions that hold one word and meet an activity in one task; words of more are split.
+SPREAD = 65_536
+
+
+def _excluded(calls: DataFrame, companies: DataFrame) -> DataFrame:
+    """call_id, gone, gone_silent: companies of sections that a call excludes, and those of them without description."""
+    by_section = companies.where("f_section is not null").groupBy(F.col("f_section").alias("section")).agg(F.count("*").alias("n"), F.count_if(F.col("f_tokens").isNull()).alias("silent"))
+    named = calls.select("call_id", F.explode(F.array_distinct("k_sections")).alias("section"))
+    return named.join(by_section, "section").groupBy("call_id").agg(F.sum("n").alias("gone"), F.sum("silent").alias("gone_silent"))
+
+
+def overlaps(calls: DataFrame, companies: DataFrame) -> DataFrame:
+    """call_id, good, partial: companies whose description shares two or more words, or one, with an admitted activity.
+
+    calls: call_id, k_activities, k_sections; companies of excluded sections do not count. Words are postings on both
+    sides: equal activities of all calls and equal descriptions of all companies meet once a shared word, and never
+    otherwise. A word of very many descriptions is dealt out over several tasks.
+    """
+    signs = calls.where(F.size("k_activities") > 0).withColumn("sign", F.xxhash64("k_activities", F.array_sort(F.array_distinct("k_sections"))))
+    each = signs.groupBy("sign").agg(F.first("k_activities").alias("k_activities"), F.first("k_sections").alias("k_sections"))
+    texts = companies.where("f_tokens is not null").groupBy("f_tokens", "f_section").agg(F.count("*").alias("n"))
+    told = texts.select(F.xxhash64("f_tokens", "f_section", F.col("f_section").isNull()).alias("text"), "f_section", "n", F.explode(F.array_distinct("f_tokens")).alias("word"))
+    admitted = each.select("sign", "k_sections", F.posexplode("k_activities").alias("activity", "words")).select("sign", "k_sections", "activity", F.explode(F.array_distinct("words")).alias("word"))
+    busy = told.groupBy("word").count().where(F.col("count") > SPREAD).select(F.col("word").alias("_w"), F.ceil(F.col("count") / SPREAD).cast("int").alias("parts"))
+    left = admitted.join(busy, F.col("word") == F.col("_w"), "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("_w", "parts")
+    right = told.join(busy, F.col("word") == F.col("_w"), "left").withColumn("part", F.pmod("text", F.coalesce("parts", F.lit(1))).cast("int")).drop("_w", "parts")
+    met = left.join(right, ["word", "part"]).where(~F.coalesce(F.array_contains("k_sections", F.col("f_section")), F.lit(False)))
+    shared = met.groupBy("sign", "text", "activity").agg(F.count("*").alias("words"), F.first("n").alias("n"))
+    best = shared.groupBy("sign", "text").agg(F.max("words").alias("words"), F.first("n").alias("n"))
+    counted = best.groupBy("sign").agg(F.sum(F.when(F.col("words") >= 2, F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(F.col("words") == 1, F.col("n")).otherwise(0)).alias("partial"))
+    return signs.select("call_id", "sign").join(counted, "sign").drop("sign")
+
+
+def activity_counts(calls: DataFrame, companies: DataFrame) -> DataFrame:
+    """call_id, everyone, gone, good, partial, silent: all companies, those of excluded sections, and of the others those
+    that share two words or more, one word, or have no description; the rest shares none. One row a call."""
+    everyone = companies.agg(F.count("*").alias("everyone"), F.count_if(F.col("f_tokens").isNull()).alias("all_silent"))
+    zero = F.lit(0).cast("long")
+    return (
+        calls.join(F.broadcast(everyone))  # one row
+        .join(overlaps(calls, companies), "call_id", "left")
+        .join(_excluded(calls, companies), "call_id", "left")
+        .withColumns({n: F.coalesce(n, zero) for n in ("gone", "good", "partial", "gone_silent")})
+        .withColumn("silent", F.col("all_silent") - F.col("gone_silent"))
+        .drop("all_silent", "gone_silent")
+    )
+
+
+def code_counts(calls: DataFrame, companies: DataFrame) -> DataFrame:
+    """call_id, same_code, same_prefix: companies outside the excluded sections whose code, or else prefix, a call names."""
+    values = companies.groupBy("f_code", "f_prefix", "f_section").agg(F.count("*").alias("n"))
+    gone = F.coalesce(F.array_contains("k_sections", F.col("f_section")), F.lit(False))
+    sides = calls.select("call_id", "k_codes", "k_prefixes", "k_sections")
+    by_code = sides.withColumn("f_code", F.explode(F.array_distinct("k_codes"))).join(values, "f_code").where(~gone).groupBy("call_id").agg(F.sum("n").alias("same_code"))
+    named = F.coalesce(F.array_contains("k_codes", F.col("f_code")), F.lit(False))
+    by_prefix = sides.withColumn("f_prefix", F.explode(F.array_distinct("k_prefixes"))).where(F.length("f_prefix") >= 2).join(values, "f_prefix").where(~gone & ~named).groupBy("call_id").agg(F.sum("n").alias("same_prefix"))
+    return calls.select("call_id").join(by_code, "call_id", "left").join(by_prefix, "call_id", "left").select("call_id", *(F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("same_code", "same_prefix")))

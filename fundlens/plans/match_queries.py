@@ -68,7 +68,28 @@ def score_region(spark, sf):
 
 @query("score_sector", _distribution("sector_score"))
 def score_sector(spark, sf):
-    return _by_attribute(spark, sf, "sector_score", "f_code", "f_prefix", "f_section", "f_tokens")
+    """Companies per score from shared codes, prefixes and words; the rest by subtraction."""
+    calls, companies = funds(spark, sf), firms(spark, sf)
+    named = N.code_counts(calls.where(~F.col("k_open") & (F.size("k_codes") > 0)), companies)
+    by_words = ~F.col("k_open") & (F.size("k_codes") == 0) & (F.size("k_activities") > 0)
+    counted = N.activity_counts(calls.withColumn("k_activities", F.when(by_words, F.col("k_activities")).otherwise(F.slice("k_activities", 1, 0))), companies).join(named, "call_id", "left")
+    rest = F.col("everyone") - F.col("gone")
+    whole, half = R.WEIGHT_SECTOR, R.WEIGHT_SECTOR // 2
+    uncertain = F.col("partial") + F.col("silent")
+    assert R.ACTIVITY_UNCERTAIN == R.ACTIVITY_PARTIAL
+
+    def scores(*given):
+        some = sum((n for _, n in given), F.lit(0))
+        return F.array(*(F.struct(F.lit(s).cast("int").alias("sector_score"), n.cast("long").alias("companies")) for s, n in ((0, F.col("everyone") - some), *given)))
+
+    none = F.lit(0).cast("long")
+    parts = (
+        F.when(F.col("k_open"), scores((whole, rest), (half, none)))
+        .when(F.size("k_codes") > 0, scores((whole, F.col("same_code")), (half, F.col("same_prefix"))))
+        .when(F.size("k_activities") > 0, scores((R.ACTIVITY_GOOD, F.col("good")), (R.ACTIVITY_PARTIAL, uncertain)))
+        .otherwise(scores((half, rest), (whole, none)))
+    )
+    return counted.select("call_id", F.inline(parts)).filter("companies > 0")
 
 
 @query("score_size", _distribution("size_score"))
@@ -92,24 +113,28 @@ def score_revenue(spark, sf):
     f"SELECT call_id, CAST(CASE WHEN len(k_activities) = 0 THEN 0 WHEN f_tokens IS NULL THEN 15 WHEN {B.OVERLAP} >= 2 THEN 30 "
     f"WHEN {B.OVERLAP} = 1 THEN 15 ELSE 0 END AS INT) AS activity_score, CAST(count(*) AS BIGINT) AS companies FROM pairs GROUP BY ALL"))
 def score_activity(spark, sf):
-    words = firms(spark, sf).groupBy("f_tokens").agg(F.count("*").alias("companies"), F.min("company_id").alias("company_id"))
-    free = F.array(F.lit("*"))
-    met = M.meet(funds(spark, sf).withColumn("call_keys", free), words.withColumn("company_keys", free))
-    return (
-        met.select("call_id", M.activity_score().cast("int").alias("activity_score"), "companies")
-        .groupBy("call_id", "activity_score")
-        .agg(F.sum("companies").alias("companies"))
-    )
+    """Companies per score from shared words; a call without activities scores nobody."""
+    counted = N.activity_counts(_anywhere(funds(spark, sf)), firms(spark, sf))
+    listed = F.size("k_activities") > 0
+    good = F.when(listed, F.col("good")).otherwise(0)
+    assert R.ACTIVITY_UNCERTAIN == R.ACTIVITY_PARTIAL
+    partial = F.when(listed, F.col("partial") + F.col("silent")).otherwise(0)
+    parts = F.array(*(F.struct(F.lit(s).cast("int").alias("activity_score"), n.cast("long").alias("companies")) for s, n in ((R.ACTIVITY_GOOD, good), (R.ACTIVITY_PARTIAL, partial), (0, F.col("everyone") - good - partial))))
+    return counted.select("call_id", F.inline(parts)).filter("companies > 0")
+
+
+def _anywhere(calls: DataFrame) -> DataFrame:
+    """Calls as if no section were excluded."""
+    return calls.withColumn("k_sections", F.slice("k_sections", 1, 0))
 
 
 @query("sector_to_verify", B.with_pairs(
     "SELECT call_id, CAST(count(*) AS BIGINT) AS companies FROM pairs WHERE NOT open_to_all AND len(k_codes) = 0 AND len(k_activities) > 0 "
     f"AND (f_tokens IS NULL OR {B.OVERLAP} < 2) GROUP BY call_id"))
 def sector_to_verify(spark, sf):
-    words = firms(spark, sf).groupBy("f_tokens").agg(F.count("*").alias("companies"), F.min("company_id").alias("company_id"))
-    free = F.array(F.lit("*"))
-    met = M.meet(funds(spark, sf).withColumn("call_keys", free), words.withColumn("company_keys", free))
-    return met.filter(M.sector_to_verify()).groupBy("call_id").agg(F.sum("companies").alias("companies"))
+    calls = funds(spark, sf).where(~F.col("k_open") & (F.size("k_codes") == 0) & (F.size("k_activities") > 0))
+    unsure = (F.col("everyone") - F.col("good")).alias("companies")
+    return N.activity_counts(_anywhere(calls), firms(spark, sf)).select("call_id", unsure).filter("companies > 0")
 
 
 @query("sector_excluded", B.with_calls(

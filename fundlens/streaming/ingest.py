@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions import text as X
-from ..operators import evidence as E, matching as M, normalise as O, profiles as P, upkeep as U, validate as V
+from ..operators import evidence as E, matching as M, normalise as O, profiles as P, validate as V
 from ..functions import refdata as R
+from .keystore import KeyStore
 
 SUBMISSION = "call_id bigint, payload string, text string, arrived timestamp"
 
@@ -39,12 +40,27 @@ def earlier_records(spark: SparkSession, out: str, batch_id: int) -> DataFrame |
     return spark.read.parquet(f"{out}/records").filter(F.col("batch") < batch_id)
 
 
-def title_duplicates(records: DataFrame, known: DataFrame | None) -> DataFrame:
-    """Records with `duplicate_of`: the oldest earlier record of the same title and issuer, if any."""
-    if known is None:
-        return records.withColumn("duplicate_of", F.lit(None).cast("bigint"))
-    named = lambda df: df.withColumns({"title": F.col("titolo"), "issuer": F.col("ente")})
-    return U.find_duplicates(named(records), named(known).select("call_id", "title", "issuer"), oldest=True).drop("title", "issuer")
+def title_key() -> Column:
+    """Title and issuer of a record as one key; null where there is no title."""
+    named = [F.lower(F.coalesce(c, F.lit(""))) for c in ("titolo", "ente")]
+    return F.when(F.trim(named[0]) != "", F.sha2(F.concat_ws("\u001f", *named), 256))
+
+
+def title_duplicates(records: DataFrame, known: DataFrame) -> DataFrame:
+    """Records with `duplicate_of`: the oldest earlier record of the same title and issuer, if any. known: key, call_id."""
+    keyed = records.withColumn("_key", title_key())
+    older = known.select(F.col("key").alias("_key"), F.col("call_id").alias("duplicate_of"))
+    untitled = keyed.where("_key is null").withColumn("duplicate_of", F.lit(None).cast("bigint"))
+    return keyed.where("_key is not null").join(older, "_key", "left").select(*records.columns, "duplicate_of").unionByName(untitled.select(*records.columns, "duplicate_of"))
+
+
+def key_stores(spark: SparkSession, out: str, batch_id: int) -> tuple[KeyStore, KeyStore]:
+    """The stores of document hashes and of titles; records of a time before the stores are taken in once."""
+    stores = KeyStore(spark, f"{out}/keys/documents"), KeyStore(spark, f"{out}/keys/titles")
+    if batch_id and not stores[0].segments() and (known := earlier_records(spark, out, batch_id)) is not None:
+        stores[1].add(known.select(title_key().alias("key"), "call_id"), batch_id - 1, first=0)
+        stores[0].add(known.select(F.col("document_hash").alias("key"), "call_id"), batch_id - 1, first=0)
+    return stores
 
 
 def validated_records(batch: DataFrame, as_of: datetime.date) -> DataFrame:
@@ -76,16 +92,23 @@ def ingest(submissions: DataFrame, companies: DataFrame, out: str, checkpoint: s
     A text that any earlier batch has stored is not stored again, whenever it comes; a record whose title and issuer are
     known is stored with the older one's id and not matched.
 
-    The records are read back before they are matched, so validation runs once per record and the
+    What is stored is asked by key: a batch reads the parts of the key stores that its own hashes and titles fall in, never
+    the records. The records are read back before they are matched, so validation runs once per record and the
     matching plan starts from a table.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         place = f"{out}/records/batch={batch_id}"
-        known = earlier_records(batch.sparkSession, out, batch_id)
-        records = validated_records(unseen(batch, known), as_of)
-        title_duplicates(records, known).write.mode("overwrite").parquet(place)
-        stored = batch.sparkSession.read.parquet(place)
+        documents, titles = key_stores(spark, out, batch_id)
+        seen = documents.find(batch.select(F.col("document_hash").alias("key")), batch_id)
+        validated_records(unseen(batch, seen.select(F.col("key").alias("document_hash"))), as_of).write.mode("overwrite").parquet(f"{out}/staged")
+        staged = spark.read.parquet(f"{out}/staged")
+        title_duplicates(staged, titles.find(staged.select(title_key().alias("key")), batch_id)).write.mode("overwrite").parquet(place)
+        stored = spark.read.parquet(place)
         scores(stored, companies, as_of).write.mode("overwrite").parquet(f"{out}/matches/batch={batch_id}")
+        for keys, key in ((titles, title_key()), (documents, F.col("document_hash"))):
+            keys.add(stored.select(key.alias("key"), "call_id"), batch_id)
+            keys.tidy(batch_id)
 
     return new_submissions(submissions).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
