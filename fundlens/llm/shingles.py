@@ -164,6 +164,7 @@ def met(one: DataFrame) -> DataFrame:
     """The cells. Where shingles turn out to be held by many sets although no sample showed it, they go to the end of the order and the sets meet anew."""
     order = common(one)
     found = kit.stored(cells(one, order), "cells")
+    kit.released(one.sparkSession)
     hot = found.groupBy("t").count().where(F.col("count") > HOT).orderBy(F.desc("count"), "t").limit(COMMON).toArrow()
     t, c = hot.column("t").to_numpy(), hot.column("count").to_numpy()
     new = ~np.isin(t, order[0])
@@ -200,7 +201,10 @@ def verified(pairs: DataFrame, one: DataFrame) -> DataFrame:
         out = out.join(laid, (F.col(end) == F.col("_f")) & (F.col("_mine") == F.col("_part"))).drop("_f", "_part", "_mine")
     both = F.size(F.array_intersect("x", "y"))
     alike = out.where(both * DEN >= (F.size("x") + F.size("y") - both) * NUM)
-    return kit.stored(alike.select("a", "b"), "similar")
+    found = kit.stored(alike.select("a", "b"), "similar")
+    del nodes, out, laid, alike
+    kit.released(found.sparkSession)
+    return found
 
 
 def meetings(placed: DataFrame) -> DataFrame:
