@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -78,12 +77,6 @@ def stored(df: DataFrame, name: str, keep: bool = False, **options) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of frames that nothing refers to any more; it does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def width(spark: SparkSession) -> int:
     """Parts for data that are dealt out by a key."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
