@@ -135,6 +135,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     A text's language is the one that holds most of its n-grams after correction for false positives; ties go to the
     language first by name, a text with none of the known n-grams to the one with most training documents (score 0).
     The score is that language's share of all corrected counts. Null or letterless text, or no learned language: `und`, 0.
+    Repeated rows are predicted alike, texts of any length count whole, and an empty table gives no rows.
     """
     names = [n for n in docs.columns if n != "text"]
     schema = docs.select(*names, F.lit("").alias("_lang"), F.lit(0.0).alias("_score")).schema

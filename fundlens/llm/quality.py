@@ -169,7 +169,7 @@ def resampled(docs: DataFrame, labels: DataFrame, keep: float | None = None, see
     added to the log weight makes the k largest keys a sample without replacement; k is `keep` of all documents or, by
     default, the number of documents at or above the threshold. Keys tied with the k-th are all kept. Null, empty and
     very short texts have no n-grams, log ratio 0 and are weighed as such; repeated rows share noise and fate. Without
-    good labelled documents, or without poor ones, all are kept.
+    good labelled documents, or without poor ones, all are kept. Texts of any length count whole; an empty table gives no rows.
     """
     decided, rows = plan(docs, labels, keep, seed)
     return decided.weighed(rows).select("doc_id", F.col("_mean").alias("mean_log_ratio"), F.col("_log_weight").alias("log_weight"), F.col("_sample_key").alias("sample_key"), F.col("_kept").alias("kept"))

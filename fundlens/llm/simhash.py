@@ -207,7 +207,8 @@ def groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
     Only distinct fingerprints meet, each with its smallest doc_id; copies are never paired. Null, empty and word-less
     texts have fingerprint zero and are linked like any others; a text of fewer words than a shingle is one shingle;
-    repeated rows share all results. A component made only of null ids has a null id.
+    repeated rows share all results. A component made only of null ids has a null id. Texts of any length go whole; an empty
+    table gives no rows.
     """
     prints = kit.stored(fingerprints(docs.select("doc_id", "text")), "prints")
     nodes = kit.stored(prints.groupBy("_fp").agg(F.min("doc_id").alias("first")), "nodes")
