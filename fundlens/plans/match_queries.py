@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import DEFAULT_AS_OF as AS_OF
 from ..functions import refdata as R, text as X
-from ..operators import cards as C, counts as N, eligibility as E, matching as M, profiles as P
+from ..operators import cards as C, counts as N, eligibility as E, factors as L, matching as M, profiles as P
 from ..sources import tables as T
 from . import oracle_base as B
 from .registry import query
@@ -183,12 +183,8 @@ def score_explanation(spark, sf):
 @query("score_band", B.with_pairs(
     "SELECT call_id, CASE WHEN score > 70 THEN 'high' WHEN score >= 40 THEN 'mid' ELSE 'low' END AS band, CAST(count(*) AS BIGINT) AS companies FROM pairs GROUP BY ALL"))
 def score_band(spark, sf):
-    return (
-        pairs(spark, sf)
-        .select("call_id", M.score_band(F.col("score")).alias("band"))
-        .groupBy("call_id", "band")
-        .agg(F.count("*").alias("companies"))
-    )
+    counted = L.score_counts(funds(spark, sf), firms(spark, sf))
+    return counted.groupBy("call_id", M.score_band(F.col("score")).alias("band")).agg(F.sum("n").alias("companies"))
 
 
 @query("eligibility", B.with_checks(
@@ -196,15 +192,11 @@ def score_band(spark, sf):
     "CAST(len(list_filter(outcomes, lambda o: o = 'unverifiable')) AS INT) AS unverifiable, CAST(count(*) AS BIGINT) AS companies, "
     "CAST(sum(company_id) AS BIGINT) AS company_id_sum FROM checks GROUP BY ALL"))
 def eligibility(spark, sf):
-    met = M.candidates(funds(spark, sf), firms(spark, sf))
-    return (
-        met.select(
-            "call_id", "company_id", E.is_eligible().alias("eligible"),
-            E.count_outcomes(E.FAIL).alias("failed"), E.count_outcomes(E.UNKNOWN).alias("unverifiable"),
-        )
-        .groupBy("call_id", "eligible", "failed", "unverifiable")
-        .agg(F.count("*").alias("companies"), F.sum("company_id").alias("company_id_sum"))
-    )
+    calls = funds(spark, sf)
+    usable = calls.select("call_id", "k_usable")
+    counted = L.eligibility_counts(calls, firms(spark, sf)).join(usable, "call_id")
+    eligible = F.when(F.col("k_usable"), F.col("failed") == 0).alias("eligible")
+    return counted.select("call_id", eligible, "failed", "unverifiable", F.col("n").alias("companies"), F.col("ids").alias("company_id_sum"))
 
 
 @query("eligible_pairs", B.with_checks("SELECT call_id, company_id FROM checks WHERE eligible"))
