@@ -149,8 +149,11 @@ def score_status() -> Column:
 
 
 def score_pairs(calls: DataFrame, companies: DataFrame, threshold: int = 0, blocks: int | None = None) -> DataFrame:
-    """Prepared sides paired, with the four parts, the total and the status; pairs under the threshold go."""
-    pairs = candidates(calls, companies, threshold, blocks)
+    """Prepared sides paired, with the four parts, the total and the status; pairs under the threshold go.
+
+    A call whose record could not be read scores with nobody.
+    """
+    pairs = candidates(calls.filter("k_usable"), companies, threshold, blocks)
     scored = pairs.withColumns({name: make().cast("int") for name, make in PARTS.items()}).withColumns(
         {
             "score": F.greatest(F.lit(0), F.least(F.lit(100), sum(F.col(p) for p in PARTS))).cast("int"),

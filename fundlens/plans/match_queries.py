@@ -264,14 +264,4 @@ def eligibility_funnel(spark, sf):
     "SELECT call_id, CASE WHEN NOT eligible THEN 'Non ammissibile' WHEN score_status = 'da_verificare' THEN 'Da verificare' "
     "ELSE 'Ammissibile sui dati disponibili' END AS label, CAST(count(*) AS BIGINT) AS companies FROM checks GROUP BY ALL"))
 def match_status_label(spark, sf):
-    """Companies per call and label; those that are not eligible follow by subtraction."""
-    calls, companies = funds(spark, sf), firms(spark, sf)
-    fits = E.eligible_pairs(calls, companies).groupBy("call_id").agg(F.count("*").alias("eligible"))
-    everyone = companies.agg(F.count("*").alias("all"))
-    counted = calls.select("call_id", M.score_status().alias("status")).join(fits, "call_id", "left").join(F.broadcast(everyone))  # one row
-    eligible = F.coalesce("eligible", F.lit(0))
-    labels = F.array(*(
-        F.struct(E.status_label(F.lit(fit), F.col("status")).alias("label"), n.alias("companies"))
-        for fit, n in ((True, eligible), (False, F.col("all") - eligible))
-    ))
-    return counted.select("call_id", F.inline(labels)).filter("companies > 0")
+    return L.status_counts(funds(spark, sf), firms(spark, sf))
