@@ -68,6 +68,21 @@ def scratch() -> Iterator[None]:
             deleted(spark, path)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a query are deleted as soon as it ends, not when the driver forgets its plan.
+
+    For steps that store their results, so that no later one reads those files.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def stored(df: DataFrame, name: str, keep: bool = False, **options) -> DataFrame:
     """The frame written to the shared folder and read again: lineage ends here and survives lost executors."""
     path = scratch_path(df.sparkSession, name)

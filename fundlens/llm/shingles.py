@@ -20,8 +20,11 @@ COMMON_FROM = 4
 HOT = 1024
 TILE = 4096
 SPREAD = 4096
-#: Bits of the map of needed sets.
+#: Bits of the map of needed sets, and longs of the map that each set has of its own shingles.
 BITS = 1 << 23
+LONGS = 8
+#: Bytes of a shingle's hash by which two sets are compared.
+BYTES = 6
 #: Sets that a task remembers to have given.
 REMEMBERED = 1_000_000
 
@@ -38,17 +41,40 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> l
     return [np.unique(h[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def ragged_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    offsets = pa.array(np.append(0, np.cumsum([len(x) for x in parts])), pa.int32())
-    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*parts, np.empty(0, np.int64)]), kind.value_type))
+def bit_map(s: np.ndarray) -> np.ndarray:
+    """LONGS longs with a bit set for each shingle: shingles whose bit the other map lacks are not in the other set."""
+    bits = np.zeros(64 * LONGS, np.uint8)
+    bits[(kit.mix(s.view(np.uint64)) % np.uint64(64 * LONGS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
 
 
-def sets(texts: DataFrame) -> DataFrame:
-    """doc_id, `_h`, `_fp` (a hash of the text's shingle set) and s, the set, for doc_id, text and `_h`; s is null where the task gave the same set before."""
+def packed(s: np.ndarray) -> bytes:
+    """The set by the low BYTES bytes of its hashes, in their order.
+
+    Two different shingles of a pair of sets of n and m look alike with a chance of n * m / 2**48.
+    """
+    return np.unique(s & ((1 << 8 * BYTES) - 1)).view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
+
+
+def unpacked(c: bytes) -> np.ndarray:
+    out = np.zeros((len(c) // BYTES, 8), np.uint8)
+    out[:, :BYTES] = np.frombuffer(c, np.uint8).reshape(-1, BYTES)
+    return out.view(np.int64)[:, 0]
+
+
+#: What sets() may tell of a set: its hashes, those packed, or its size followed by its map.
+FORMS = {"s": (None, "array<long>"), "c": (packed, "binary"), "m": (lambda s: np.append(len(s), bit_map(s)), "array<long>")}
+
+
+def sets(texts: DataFrame, form: str = "s") -> DataFrame:
+    """doc_id, `_h`, `_fp` (a hash of the text's shingle set) and the set in one of FORMS, for doc_id, text and `_h`; the set is null where the task gave the same before.
+
+    Nothing of it is stored: shingles take more room than the texts, so each use makes them anew.
+    """
     from xxhash import xxh64_intdigest
 
-    schema = texts.select("doc_id", "_h", F.lit(0).cast("long").alias("_fp"), F.array(F.lit(0).cast("long")).alias("s")).schema
-    schema["s"].nullable = True
+    make, kind = FORMS[form]
+    schema = texts.select("doc_id", "_h", F.lit(0).cast("long").alias("_fp"), F.lit(None).cast(kind).alias(form)).schema
 
     def run(batches, out):
         seen: set[int] = set()
@@ -57,7 +83,7 @@ def sets(texts: DataFrame) -> DataFrame:
                 found = shingle_sets(data, offsets)
                 names = [xxh64_intdigest(x.tobytes(), 42) for x in found]
                 new = [not (k in seen or seen.add(k)) for k in names]
-                some = pa.array([x if n else None for x, n in zip(found, new, strict=True)], out.field("s").type)
+                some = pa.array([(make(x) if make else x) if n else None for x, n in zip(found, new, strict=True)], out.field(form).type)
                 yield kit.record(out, [rows.column("doc_id"), rows.column("_h"), np.array(names, np.uint64).view(np.int64), some])
                 if len(seen) > REMEMBERED:
                     seen.clear()
@@ -65,9 +91,9 @@ def sets(texts: DataFrame) -> DataFrame:
     return kit.mapped(texts, run, schema)
 
 
-def common(one: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample hold, sorted, and in how many. They set an order, not the result."""
-    n = max(one.count(), 1)
+def common(one: DataFrame, n: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample hold, sorted, and in how many. They set an order, not the result. n: how many sets there are."""
+    n = max(one.count() if n is None else n, 1)
     some = one.where(kit.share(F.col("_fp"), 5) * n < SAMPLE_TEXTS).dropDuplicates(["_fp"])
     top = some.select(F.explode("s").alias("t")).groupBy("t").count().where(F.col("count") >= COMMON_FROM).orderBy(F.desc("count"), "t").limit(COMMON).toArrow()
     return ordered(top.column("t").to_numpy(), top.column("count").to_numpy())
@@ -160,9 +186,9 @@ def cells(one: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     return kit.mapped(rows.repartition(kit.width(one.sparkSession), "t").sortWithinPartitions("t", "_fp"), scan, "t long, _fp long, w long, p long, pw long")
 
 
-def met(one: DataFrame) -> DataFrame:
+def met(one: DataFrame, n: int | None = None) -> DataFrame:
     """The cells. Where shingles turn out to be held by many sets although no sample showed it, they go to the end of the order and the sets meet anew."""
-    order = common(one)
+    order = common(one, n)
     found = kit.stored(cells(one, order), "cells")
     hot = found.groupBy("t").count().where(F.col("count") > HOT).orderBy(F.desc("count"), "t").limit(COMMON).toArrow()
     t, c = hot.column("t").to_numpy(), hot.column("count").to_numpy()
@@ -180,27 +206,51 @@ def wanted(one: DataFrame, needed: DataFrame) -> DataFrame:
     bit = lambda c: F.pmod(F.xxhash64(c, F.lit(9)), F.lit(BITS))
     mine = "shiftleft(1L, int(_b & 63))"
     words = needed.select(bit("_n").alias("_b")).groupBy(F.shiftright("_b", 6).alias("_w")).agg(F.expr(f"bit_or({mine})").alias("_bits"))
-    return one.withColumn("_b", bit("_fp")).join(F.broadcast(words), F.shiftright("_b", 6) == F.col("_w")).where(f"(_bits & {mine}) <> 0").select("_fp", "s")
+    return one.withColumn("_b", bit("_fp")).join(F.broadcast(words), F.shiftright("_b", 6) == F.col("_w")).where(f"(_bits & {mine}) <> 0").select("_fp", "c")
 
 
-def verified(pairs: DataFrame, one: DataFrame) -> DataFrame:
-    """(a, b) of the pairs whose sets have the similarity, by the sets themselves.
+def possible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b), once each, whose sizes and maps allow the similarity. maps: `_fp`, m.
 
-    A set that is in many pairs is laid out several times, so its pairs are compared by several tasks.
+    Each bit that one map has and the other lacks is a shingle at least that they do not share, so no pair of the similarity goes.
     """
-    pairs = kit.stored(pairs.distinct(), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("_n")).distinct()
-    nodes = wanted(one, needed).join(needed, F.col("_fp") == F.col("_n"), "left_semi").groupBy("_fp").agg(F.first("s").alias("s"))
-    out = pairs
+    out = pairs.distinct()
     for end, name in (("a", "x"), ("b", "y")):
-        other = "b" if end == "a" else "a"
-        busy = pairs.groupBy(F.col(end).alias("_e")).count().where(F.col("count") > SPREAD).select("_e", F.ceil(F.col("count") / SPREAD).cast("int").alias("_parts"))
-        laid = nodes.join(busy, F.col("_fp") == F.col("_e"), "left").select(F.col("_fp").alias("_f"), F.col("s").alias(name), F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part"))
-        out = out.join(busy, F.col(end) == F.col("_e"), "left").withColumn("_mine", F.pmod(F.xxhash64(other), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_e", "_parts")
-        out = out.join(laid, (F.col(end) == F.col("_f")) & (F.col("_mine") == F.col("_part"))).drop("_f", "_part", "_mine")
-    both = F.size(F.array_intersect("x", "y"))
-    alike = out.where(both * DEN >= (F.size("x") + F.size("y") - both) * NUM)
-    return kit.stored(alike.select("a", "b"), "similar")
+        out = out.join(maps.select(F.col("_fp").alias("_f"), F.col("m").alias(name)), F.col(end) == F.col("_f")).drop("_f")
+    alone = lambda x, y: sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(1, LONGS + 1)), F.lit(0))
+    n, m = F.col("x")[0], F.col("y")[0]
+    return out.where(F.least(n - alone("x", "y"), m - alone("y", "x")) * (NUM + DEN) >= (n + m) * NUM).select("a", "b")
+
+
+def compared(batches, out):
+    """(a, b) of the pairs of the similarity, from rows (a, part, b, c) in that order; the row without b has the set of a and comes first."""
+    head = None
+    for batch in batches:
+        found = []
+        for a, b, c in zip(*(batch.column(x) for x in ("a", "b", "c")), strict=True):
+            mine = unpacked(c.as_buffer())
+            if not b.is_valid:
+                head = mine
+            elif len(np.intersect1d(head, mine, assume_unique=True)) * (NUM + DEN) >= (len(head) + len(mine)) * NUM:
+                found.append((a.as_py(), b.as_py()))
+        yield kit.record(out, list(np.array(found, np.int64).reshape(-1, 2).T))
+
+
+def verified(pairs: DataFrame, one: DataFrame, maps: DataFrame) -> DataFrame:
+    """(a, b) of the pairs whose sets have the similarity, by the sets themselves. one: `_fp`, c.
+
+    The set of b goes to that of a, one for each pair. A set a of many pairs is laid out several times, so several tasks
+    compare it; a task holds the set of one a and reads the others in a stream.
+    """
+    pairs = kit.stored(possible(pairs, maps), "pairs")
+    heads = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / SPREAD).cast("int").alias("parts"))
+    busy = heads.where("parts > 1").select(F.col("a").alias("_a"), "parts")
+    ends = heads.select(F.col("a").alias("_n"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b")).union(
+        pairs.join(busy, F.col("a") == F.col("_a"), "left").select(F.col("b").alias("_n"), "a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "b"))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("_n")).distinct()
+    nodes = wanted(one, needed).groupBy("_fp").agg(F.first("c").alias("c"))
+    laid = ends.join(nodes.hint("merge"), F.col("_n") == F.col("_fp")).select("a", "part", "b", "c")
+    return kit.stored(kit.mapped(laid.repartition(kit.width(one.sparkSession), "a", "part").sortWithinPartitions("a", "part", "b"), compared, "a long, b long"), "similar")
 
 
 def meetings(placed: DataFrame) -> DataFrame:
@@ -254,16 +304,25 @@ def meetings(placed: DataFrame) -> DataFrame:
     return kit.mapped(dealt.drop("t").repartition(kit.width(spark), "cell").sortWithinPartitions("cell"), run, "a long, b long")
 
 
-def roots(one: DataFrame) -> DataFrame:
-    """(node, root) of all sets that links of the similarity join with others. one: `_fp`, s.
+def likeliest(rows: DataFrame) -> DataFrame:
+    """(a, b): for each set b the set it shares most prefix shingles with, of those that are first of a shingle."""
+    w = [c for x in ("w", "pw") for c in (F.shiftright(x, 32), F.col(x).bitwiseAND(F.lit(0xFFFFFFFF)))]
+    counted = rows.where(F.col("_fp") != F.col("p")).where(fits(*w)).groupBy("_fp", "p").count()
+    return counted.groupBy(F.col("_fp").alias("b")).agg(F.max_by("p", F.struct("count", "p")).alias("a")).select("a", "b")
+
+
+def roots(prints: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, root) of all sets that links of the similarity join with others. prints: `_fp`, m of all texts.
 
-    First every set meets one of each shingle it shares; then all that share a shingle and are not joined yet meet, so a
-    group of near copies makes few pairs.
+    First every set meets the likeliest of the sets it shares shingles with; then all that share a shingle and are not
+    joined yet meet, so a group of near copies makes few pairs. The first step sets the cost, not the result.
     """
-    rows = met(one)
-    first = verified(rows.where(F.col("_fp") != F.col("p")).where(fits(*(c for w in ("w", "pw") for c in (F.shiftright(w, 32), F.col(w).bitwiseAND(F.lit(0xFFFFFFFF)))))).select(F.least("_fp", "p").alias("a"), F.greatest("_fp", "p").alias("b")), one)
+    maps = kit.stored(prints.where("m is not null").groupBy("_fp").agg(F.first("m").alias("m")), "maps")
+    rows = met(sets(texts).where("s is not null").select("_fp", "s"), maps.count())
+    one = sets(texts, "c").where("c is not null").select("_fp", "c")
+    first = verified(likeliest(rows), one, maps)
     placed = kit.stored(rows.join(components(first), F.col("_fp") == F.col("node"), "left").select("t", "_fp", "w", F.coalesce("root", "_fp").alias("r")), "placed")
-    second = verified(meetings(placed), one)
+    second = verified(meetings(placed), one, maps)
     return components(first.union(second))
 
 
@@ -275,6 +334,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     of any length give whole sets, and an empty table gives no rows. Tables on the way are deleted before this returns.
     """
     rows, names = simhash.keyed(docs)
-    with kit.scratch():
-        prints = kit.stored(sets(simhash.texts(rows, names)), "shingles", **{"parquet.block.size": 16 << 20, "parquet.enable.dictionary": "false"})
-        return simhash.one_of_each(rows, names, prints.drop("s"), roots(prints.where("s is not null").select("_fp", "s")))
+    texts = simhash.texts(rows, names)
+    with kit.scratch(), kit.shuffles_freed(docs.sparkSession):
+        prints = kit.stored(sets(texts, "m"), "prints")
+        return simhash.one_of_each(rows, names, prints.drop("m"), roots(prints, texts))
