@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import matching as M, sizes, upkeep as U
+from ..operators import maintenance, matching as M, profiles as P, sizes, upkeep as U
 from ..sources import tables as T
 from . import oracle_base as B
-from .match_queries import firms, funds
+from .match_queries import AS_OF, firms, funds
 from .registry import query
 
 _CALLS = f"WITH {B.CALLS}"
@@ -146,6 +146,25 @@ def company_upsert(spark, sf):
     return U.upsert(T.companies(spark, sf), U.clean_company(T.company_forms(spark, sf)), "company_id")
 
 
+def _changes_sql() -> str:
+    """All pairs of the tables before and after the forms, compared."""
+    before = B.COMPANIES.replace("companies AS", "companies_before AS", 1)
+    both = (f"companies AS MATERIALIZED (SELECT {_COMPANY}, FALSE AS after FROM companies_before UNION ALL SELECT {_COMPANY}, TRUE FROM companies_before WHERE company_id NOT IN (SELECT company_id FROM company_forms) "
+            f"UNION ALL SELECT {_CLEAN_SQL}, TRUE FROM company_forms)")
+    return (f"WITH {before}, {B.FORMS_IN}, {both}, {B.CALLS}, {B.SECTIONS}, {B.FORMS}, {B.FIRMS}, {B.FUNDS}, {B.PAIRS}, good AS MATERIALIZED (SELECT call_id, company_id, after, score FROM pairs WHERE score >= 75) "
+            "SELECT CASE WHEN n.score IS NULL THEN 'delete' WHEN o.score IS NULL THEN 'insert' ELSE 'update' END AS change, call_id, company_id, n.score "
+            "FROM (SELECT * FROM good WHERE NOT after) o FULL JOIN (SELECT * FROM good WHERE after) n USING (call_id, company_id) WHERE o.score IS DISTINCT FROM n.score")
+
+
+@query("match_changes", _changes_sql())
+def match_changes(spark, sf):
+    """What stored matches at or above 75 need after companies were saved from their forms."""
+    forms = P.prepare_companies(U.clean_company(T.company_forms(spark, sf)), AS_OF)
+    calls, companies = funds(spark, sf), firms(spark, sf)
+    stored = M.score_pairs(calls, companies, 75).select("call_id", "company_id", "score")
+    return maintenance.match_changes(stored, calls, companies, new_companies=forms, threshold=75)
+
+
 def _size_errors_sql() -> str:
     arms = []
     for name, low, high, cap in (("micro", None, 9, 2000000), ("piccola", None, 49, 10000000), ("media", None, 249, 50000000), ("grande", 250, None, None)):
