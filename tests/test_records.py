@@ -222,3 +222,15 @@ def test_loose_numbers_of_odd_texts(spark):
     rows = stored(spark, spark.createDataFrame(list(enumerate(texts)), "i int, t string"))
     got = [r.n for r in rows.select("i", numbers.parse_loose(F.col("t")).alias("n")).orderBy("i").collect()]
     assert got == [1500000.0, 2500.5, 1000.0, 123.0, 1.5, 60.0, 5.0, 5.0, None, None, 0.5, 5.0, None, None, None, None, 100000.0, None]
+
+
+def test_replies_are_spread_and_cleaned(spark, sf):
+    """A small file of replies runs on all cores; each step of the cleaning is evaluated once."""
+    from fundlens.sources import tables
+
+    assert tables.call_replies(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert str(normalise.clean_reply(F.col("zz"))).count("zz") == 1
+    texts = ['{"a": 1}', '```json\n{"a": 1}\n```', 'Ecco: {"a": 1} Fine.', "[1]", ' \n{"a": 1}\n', "{", "nessun dato", '"{}"', "", None]
+    rows = stored(spark, spark.createDataFrame(list(enumerate(texts)), "i int, t string"))
+    got = [r.j for r in rows.select("i", normalise.clean_reply(F.col("t")).alias("j")).orderBy("i").collect()]
+    assert got == ['{"a": 1}'] * 3 + [None, '{"a": 1}', None, None, "{}", None, None]
