@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import dates, numbers as N, refdata as R, text as X
 from . import eligibility as E, matching as M
@@ -21,7 +21,8 @@ def enrich(matches: DataFrame, calls: DataFrame, companies: DataFrame) -> DataFr
     """Stored matches of validated calls with recomputed parts, status and eligibility (prepared sides)."""
     valid = calls.filter(F.col("review_status") == R.VALIDATED)
     stored = matches.withColumnRenamed("score", "stored_score")
-    rows = stored.join(valid, "call_id").join(companies, "company_id")
+    # calls carry lists, companies do not: calls come last, so their lists are not shuffled once per match
+    rows = stored.join(companies, "company_id").join(valid, "call_id")
     parts = {name: make().cast("int") for name, make in M.PARTS.items()}
     return rows.withColumns(parts).withColumns(
         {
@@ -46,7 +47,7 @@ def counts_as_eligible() -> Column:
     return F.col("eligible") & (F.col("score_status") != "da_verificare")
 
 
-def summarise(rows: DataFrame, *keys: str) -> DataFrame:
+def summarise(rows: DataFrame, *keys: str, raw: str = "stored_score") -> DataFrame:
     """Best eligible score, best score and eligibility counts per key; map-side combined."""
     return rows.groupBy(*keys).agg(
         F.count("*").alias("n_matches"),
@@ -54,7 +55,7 @@ def summarise(rows: DataFrame, *keys: str) -> DataFrame:
         F.count_if(~F.col("eligible")).alias("n_not_eligible"),
         F.count_if(F.col("score_status") == "da_verificare").alias("n_to_verify"),
         F.max(F.when(counts_as_eligible(), F.col("stored_score"))).alias("best_eligible"),
-        F.max("stored_score").alias("raw_best"),
+        F.max(raw).alias("raw_best"),
     )
 
 
@@ -113,28 +114,26 @@ def group_cards(faces: DataFrame) -> DataFrame:
 def merged_matches(rows: DataFrame, grouping: DataFrame) -> DataFrame:
     """Matches per card. Within merged cards the best score per company name stays.
 
-    Equal scores are settled by the order of the calls (best raw score, then newest).
+    Equal scores are settled by the order of the calls (best raw score, then newest). ``own_best`` is the best score that
+    a row's group has from the card's own call. The enriched rows come by call, so neither asks for a second pass over them.
     """
-    raw = rows.groupBy("call_id").agg(F.max("stored_score").alias("call_best"))
-    placed = rows.join(grouping.join(raw, "call_id"), "call_id")
+    best_of_call = F.max("stored_score").over(Window.partitionBy("call_id"))
+    placed = rows.withColumn("call_best", best_of_call).join(grouping, "call_id")
     merge_key = F.when(F.col("copies") > 1, F.concat(F.lit("n:"), "legal_name")).otherwise(
         F.concat(F.lit("m:"), F.col("match_id").cast("string"))
     )
     rank = F.struct("stored_score", "call_best", "call_id", (-F.col("match_id")).alias("first"))
     kept = F.struct("company_id", "legal_name", "stored_score", "eligible", "score_status", "match_id")
-    best = placed.groupBy("card_id", merge_key.alias("merge_key")).agg(F.max_by(kept, rank).alias("m"))
-    return best.select("card_id", "m.*")
+    own = F.when(F.col("call_id") == F.col("card_id"), F.col("stored_score"))
+    best = placed.groupBy("card_id", merge_key.alias("merge_key")).agg(F.max_by(kept, rank).alias("m"), F.max(own).alias("own_best"))
+    return best.select("card_id", "m.*", "own_best")
 
 
 def deduplicated_cards(rows: DataFrame, calls: DataFrame, as_of: datetime.date) -> DataFrame:
     faces = card_faces(calls, as_of)
     grouping = group_cards(faces)
-    summary = summarise(merged_matches(rows, grouping), "card_id").drop("raw_best")
-    raw = rows.groupBy("call_id").agg(F.max("stored_score").alias("raw_best"))
-    primary = (
-        faces.join(grouping.filter(F.col("call_id") == F.col("card_id")), "call_id")
-        .join(raw, "call_id", "left")
-    )
+    summary = summarise(merged_matches(rows, grouping), "card_id", raw="own_best")
+    primary = faces.join(grouping.filter(F.col("call_id") == F.col("card_id")), "call_id")
     pending = F.col("review_status") == R.PENDING
     raw_shown = F.when(pending, 0).otherwise(F.greatest(F.coalesce("raw_best", F.lit(0)), F.lit(0))).cast("int")
     return with_summary(primary, summary, "card_id").withColumn("raw_max_score", raw_shown).drop("raw_best", "best_eligible")

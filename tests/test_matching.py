@@ -161,3 +161,13 @@ def test_cards_merge_by_company_name(spark):
         (2, "Alfa", 90, False), (2, "Beta", 40, True), (3, "Alfa", 55, True), (3, "Alfa", 50, True)}
     best = {r.card_id: r.best_eligible for r in cards.summarise(merged, "card_id").collect()}
     assert best == {2: 40, 3: 50}
+
+
+def test_cards_read_stored_matches_once(spark, sf):
+    """Cards and their best matches take all they show from one pass over the enriched matches."""
+    from fundlens.plans.catalog import QUERIES
+
+    for name in ("category_counts", "sorted_cards", "best_match"):
+        leaves = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().collectLeaves()
+        found = [leaves.apply(i).toString() for i in range(leaves.size())]
+        assert sum("l_linenumber" in leaf for leaf in found) == 1
