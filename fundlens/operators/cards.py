@@ -111,28 +111,28 @@ def group_cards(faces: DataFrame) -> DataFrame:
     return keyed.join(groups, ["title_key", "issuer_key"]).select("call_id", "card_id", "copies")
 
 
-def merged_matches(rows: DataFrame, grouping: DataFrame) -> DataFrame:
+def merged_matches(rows: DataFrame, grouping: DataFrame, shown: tuple[str, ...] = ("company_id", "legal_name", "eligible", "score_status")) -> DataFrame:
     """Matches per card. Within merged cards the best score per company name stays.
 
     Equal scores are settled by the order of the calls (best raw score, then newest). ``own_best`` is the best score that
     a row's group has from the card's own call. The enriched rows come by call, so neither asks for a second pass over them.
+    What is ``shown`` of a match beside its score and id travels behind the rank, which no two matches share.
     """
     best_of_call = F.max("stored_score").over(Window.partitionBy("call_id"))
     placed = rows.withColumn("call_best", best_of_call).join(grouping, "call_id")
     merge_key = F.when(F.col("copies") > 1, F.concat(F.lit("n:"), "legal_name")).otherwise(
         F.concat(F.lit("m:"), F.col("match_id").cast("string"))
     )
-    rank = F.struct("stored_score", "call_best", "call_id", (-F.col("match_id")).alias("first"))
-    kept = F.struct("company_id", "legal_name", "stored_score", "eligible", "score_status", "match_id")
+    kept = F.struct("stored_score", "call_best", "call_id", (-F.col("match_id")).alias("first"), *shown)
     own = F.when(F.col("call_id") == F.col("card_id"), F.col("stored_score"))
-    best = placed.groupBy("card_id", merge_key.alias("merge_key")).agg(F.max_by(kept, rank).alias("m"), F.max(own).alias("own_best"))
-    return best.select("card_id", "m.*", "own_best")
+    best = placed.groupBy("card_id", merge_key.alias("merge_key")).agg(F.max(kept).alias("m"), F.max(own).alias("own_best"))
+    return best.select("card_id", *(f"m.{c}" for c in shown), "m.stored_score", (-F.col("m.first")).alias("match_id"), "own_best")
 
 
 def deduplicated_cards(rows: DataFrame, calls: DataFrame, as_of: datetime.date) -> DataFrame:
     faces = card_faces(calls, as_of)
     grouping = group_cards(faces)
-    summary = summarise(merged_matches(rows, grouping), "card_id", raw="own_best")
+    summary = summarise(merged_matches(rows, grouping, ("eligible", "score_status")), "card_id", raw="own_best")
     primary = faces.join(grouping.filter(F.col("call_id") == F.col("card_id")), "call_id")
     pending = F.col("review_status") == R.PENDING
     raw_shown = F.when(pending, 0).otherwise(F.greatest(F.coalesce("raw_best", F.lit(0)), F.lit(0))).cast("int")

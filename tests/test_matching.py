@@ -171,3 +171,19 @@ def test_cards_read_stored_matches_once(spark, sf):
         leaves = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().collectLeaves()
         found = [leaves.apply(i).toString() for i in range(leaves.size())]
         assert sum("l_linenumber" in leaf for leaf in found) == 1
+
+
+def test_cards_send_on_only_what_they_show(spark, sf):
+    """Stored matches come dealt out by company, and of a match a card takes its score and verdict."""
+    from fundlens.plans.catalog import QUERIES
+    from fundlens.sources import tables
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = tables.stored_matches(spark, sf, by_company=True).groupBy("company_id").count()._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 3  # both sides by order, then by company
+        card = QUERIES["sorted_cards"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "max_by(" not in card and "max(struct(stored_score" in card
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
