@@ -15,9 +15,10 @@ from ..functions import dates, lists as L, numbers as N, refdata as R, text as X
 SOURCE_TYPE = "struct<campo:string,pagina:int,testo:string,certezza:string>"
 
 
-def rolling_window(text: Column) -> Column:
-    """Does the text describe a call without a fixed deadline?"""
-    return F.coalesce(X.matches(text, "(?:" + R.ROLLING_WINDOW_PATTERN + ")"), F.lit(False))
+def rolling_window(text: Column, lowered: Column | None = None) -> Column:
+    """Does the text describe a call without a fixed deadline? lowered: the text in lower case, if it is at hand."""
+    named = F.lit(True) if lowered is None else X.mentions(lowered, "portello", "aur", "permanente")
+    return F.coalesce(named & X.matches(text, "(?:" + R.ROLLING_WINDOW_PATTERN + ")"), F.lit(False))
 
 
 def relevance(title: Column, text: Column, header_chars: int | None = None) -> Column:
@@ -26,9 +27,12 @@ def relevance(title: Column, text: Column, header_chars: int | None = None) -> C
     The whole text is read; ``header_chars`` limits the check to that many characters at its start
     (``refdata.RELEVANCE_HEADER_CHARS`` is the customary limit).
     """
-    head = lambda t: F.lower(X.squash(X.fold_accents(F.coalesce(t, F.lit("")))))
-    t = head(title)
-    h = head(text if header_chars is None else F.substring(text, 1, header_chars))
+    head = lambda t: F.lower(X.squash(X.folded(F.coalesce(t, F.lit("")))))
+    heads = F.struct(head(title).alias("t"), head(text if header_chars is None else F.substring(text, 1, header_chars)).alias("h"))
+    return L.bind(heads, lambda s: _staff_reason(s["t"], s["h"]))
+
+
+def _staff_reason(t: Column, h: Column) -> Column:
     has = lambda where, pattern: where.rlike("(?U)" + pattern)
     selection = (has(t, R.SELECTION_PATTERN) & has(t, R.PERSONNEL_PATTERN)) | (
         has(t, r"\bgraduatoria\b") & has(t, R.RANKING_PATTERN)
@@ -119,7 +123,7 @@ def _keywords_in(text: Column) -> Column:
     return F.concat(*[places(word, weight) for word, weight in R.DEADLINE_KEYWORDS])
 
 
-def infer_deadline(text: Column, as_of: datetime.date) -> Column:
+def infer_deadline(text: Column, as_of: datetime.date, lowered: Column | None = None) -> Column:
     """The date nearest to the weightiest deadline keyword, as ISO text; none for rolling windows, for
     texts without a keyword near a date, and for dates long gone."""
 
@@ -133,15 +137,15 @@ def infer_deadline(text: Column, as_of: datetime.date) -> Column:
 
     day = L.bind(F.struct(_keywords_in(text).alias("w"), _dates_in(text).alias("d")), lambda s: best(s["w"], s["d"]))
     has_date = text.rlike(r"\d{4}")
-    kept = F.when(has_date & ~rolling_window(text), day)
+    kept = F.when(has_date & ~rolling_window(text, lowered), day)
     fresh = F.datediff(dates.day(as_of), kept) <= R.DEADLINE_MAX_AGE_DAYS
     return F.when(fresh, F.date_format(kept, "yyyy-MM-dd"))
 
 
 # --- excluded sections ---
 
-def cited_sections(text: Column) -> Column:
-    """Sections cited in the text: array<struct<letter,start,stop,excluded>>."""
+def cited_sections(text: Column, lowered: Column | None = None) -> Column:
+    """Sections cited in the text: array<struct<letter,start,stop,excluded>>. lowered: the text in lower case, if it is at hand."""
 
     def one(s: Column) -> Column:
         letter = F.upper(F.regexp_extract(s["hit"], "(?iU)" + R.SECTION_CITATION_PATTERN, 1))
@@ -149,7 +153,10 @@ def cited_sections(text: Column) -> Column:
         return F.struct(letter.alias("letter"), s["start"].alias("start"), s["stop"].alias("stop"),
                         X.matches(around, "(?:" + R.EXCLUSION_PATTERN + ")").alias("excluded"))
 
-    return F.transform(X.spans(text, R.SECTION_CITATION_PATTERN), one)
+    spans = X.spans(text, R.SECTION_CITATION_PATTERN)
+    if lowered is not None:
+        spans = F.when(X.mentions(lowered, "ez"), spans).otherwise(F.array().cast("array<struct<start:int,stop:int,hit:string>>"))
+    return F.transform(spans, one)
 
 
 def section_of_text(value: Column) -> Column:
@@ -157,13 +164,13 @@ def section_of_text(value: Column) -> Column:
     return F.when(letter != "", letter)
 
 
-def reconcile_sections(rows: DataFrame, text: str, sections: str, sources: str | None = None) -> DataFrame:
+def reconcile_sections(rows: DataFrame, text: str, sections: str, sources: str | None = None, lowered: Column | None = None) -> DataFrame:
     """Keeps only sections the text cites, adds those it excludes; warns about both.
 
     Adds ``kept_sections``, ``removed_sections``, ``added_sections`` and, with ``sources``, the new evidence.
     """
     t = F.col(text)
-    cited = rows.withColumn("_cited", F.when(t != "", cited_sections(t)))
+    cited = rows.withColumn("_cited", F.when(t != "", cited_sections(t, lowered)))
     anywhere = F.transform("_cited", lambda c: c["letter"])
     excluded = L.distinct_by(F.filter("_cited", lambda c: c["excluded"]), lambda c: c["letter"])
     cited = cited.withColumns({"_any": anywhere, "_out": excluded})
@@ -215,30 +222,55 @@ def _first_of(text: Column, patterns: tuple[str, ...], with_unit: tuple[bool, ..
     return F.array_min(F.array_compact(F.array(*tries)))["months"]
 
 
-def economic_facts(text: Column) -> dict[str, Column]:
-    """What the text itself states: amounts, durations in months, rate, rebate instalments, cumulation clause."""
-    rate = X.capture(text, R.RATE_PATTERN, 1)
-    compact = X.squash(text)
-    may_cumulate = X.matches(text, r"(?:di\s+cumulo|non\s+cumulabil|compatibil|aver\s+beneficiato)")
+#: Strings of which a text that a pattern matches holds one.
+AMOUNT_PARTS, DURATION_PARTS, GRACE_PARTS, REBATE_PARTS, CUMULATION_PARTS = ("mporto",), ("durata", "odo"), ("ammortamento",), ("abbuon",), ("cumul",)
+
+
+def economic_facts(text: Column, lowered: Column | None = None) -> dict[str, Column]:
+    """What the text itself states: amounts, durations in months, rate, rebate instalments, cumulation clause.
+
+    lowered: the text in lower case, if it is at hand; patterns are tried only where it holds what they need.
+    """
+    low = F.lower(text) if lowered is None else lowered
+    rate = F.when(X.mentions(low, "ntere"), X.capture(text, R.RATE_PATTERN, 1))
+    amount = lambda pattern: F.when(X.mentions(low, *AMOUNT_PARTS), N.parse_italian(X.capture(text, pattern, 1)))
+    may_cumulate = X.mentions(low, "cumul", "compat", "benef") & X.matches(text, r"(?:di\s+cumulo|non\s+cumulabil|compatibil|aver\s+beneficiato)")
     return {
-        "text_amount_min": N.parse_italian(X.capture(text, R.AMOUNT_MIN_PATTERN, 1)),
-        "text_amount_max": N.parse_italian(X.capture(text, R.AMOUNT_MAX_PATTERN, 1)),
-        "text_duration": F.when(X.matches(text, "durata|periodo"), _first_of(text, R.DURATION_TEXT_PATTERNS, (True, True, True))),
-        "text_grace": F.when(X.matches(text, "ammortamento"), _first_of(text, R.GRACE_TEXT_PATTERNS, (True, False))),
+        "text_amount_min": amount(R.AMOUNT_MIN_PATTERN),
+        "text_amount_max": amount(R.AMOUNT_MAX_PATTERN),
+        "text_duration": F.when(X.mentions(low, *DURATION_PARTS) & X.matches(text, "durata|periodo"), _first_of(text, R.DURATION_TEXT_PATTERNS, (True, True, True))),
+        "text_grace": F.when(X.mentions(low, *GRACE_PARTS), _first_of(text, R.GRACE_TEXT_PATTERNS, (True, False))),
         "text_rate": F.when(F.lower(rate) == "zero", F.lit(0.0)).otherwise(N.parse_italian(F.trim(F.replace(rate, F.lit("%"), F.lit(""))))),
-        "text_rebate": X.capture(text, R.REBATE_PATTERN, 1).cast("double"),
-        "text_cumulation": F.when(may_cumulate, X.squash(X.capture(compact, R.CUMULATION_PATTERN, 0))),
+        "text_rebate": F.when(X.mentions(low, *REBATE_PARTS), X.capture(text, R.REBATE_PATTERN, 1).cast("double")),
+        "text_cumulation": F.when(may_cumulate, X.squash(cumulation_clause(X.squash(text)))),
     }
 
 
-def reconcile_economics(rows: DataFrame, text: str) -> DataFrame:
+def cumulation_clause(compact: Column) -> Column:
+    """The first clause of a text without runs of blanks.
+
+    No clause begins more than a fixed number of characters before the first core, so the pattern, which looks far ahead
+    from every character, is not tried on what lies before.
+    """
+
+    def near(c: Column) -> Column:
+        parts = F.split(c, "(?iU)" + R.CUMULATION_CORE_PATTERN, 2)
+        return L.bind(parts, lambda p: F.when(F.size(p) > 1, F.substring(c, F.greatest(F.length(F.get(p, F.lit(0))) - R.CUMULATION_BEFORE, F.lit(0)) + 1, F.length(c))))
+
+    return L.bind(L.bind(compact, near), lambda c: X.capture(c, R.CUMULATION_PATTERN, 0))
+
+
+def reconcile_economics(rows: DataFrame, text: str, lowered: Column | None = None) -> DataFrame:
     """Fills the loan instrument and the cumulation clause from explicit wording in the text.
 
-    A loan named only by the flat type list gets an instrument; stated durations overrule recorded ones.
+    A loan named only by the flat type list gets an instrument; stated durations overrule recorded ones. lowered: the text
+    in lower case, if it is at hand.
     """
+    if lowered is None:
+        return reconcile_economics(rows.withColumn("_low", F.lower(text)), text, F.col("_low")).drop("_low")
     t = F.col(text)
     has_text = F.coalesce(t != "", F.lit(False))
-    facts = {name: F.when(has_text, c) for name, c in economic_facts(t).items()}
+    facts = {name: F.when(has_text, c) for name, c in economic_facts(t, lowered).items()}
     known = rows.withColumns(facts)
     loan = "finanziamento_agevolato"
     aid = F.col("agevolazioni")
@@ -263,7 +295,7 @@ def reconcile_economics(rows: DataFrame, text: str) -> DataFrame:
         "preammortamento_mesi": lambda a: F.coalesce(F.col("text_grace"), a["preammortamento_mesi"]),
         "abbuono_rate": lambda a: F.coalesce(a["abbuono_rate"], F.col("text_rebate")),
         "rimborso_richiesto": lambda a: F.lit(True),
-        "fonti": lambda a: F.concat(a["fonti"], loan_sources(t, a)),
+        "fonti": lambda a: F.concat(a["fonti"], loan_sources(t, a, lowered)),
     }
 
     def filled(a: Column) -> Column:
@@ -289,11 +321,12 @@ def reconcile_economics(rows: DataFrame, text: str) -> DataFrame:
     )
 
 
-def loan_sources(text: Column, loan: Column) -> Column:
-    """Evidence for the loan details taken from the text."""
+def loan_sources(text: Column, loan: Column, lowered: Column | None = None) -> Column:
+    """Evidence for the loan details taken from the text. lowered: the text in lower case, if it is at hand."""
     marks = page_marks(text)
+    low = F.lower(text) if lowered is None else lowered
 
-    def quote(field: str, patterns: tuple[str, ...], radius: int, used: Column) -> Column:
+    def quote(field: str, patterns: tuple[str, ...], radius: int, parts: tuple[str, ...], used: Column) -> Column:
         starts = []
         for i, p in enumerate(patterns):
             at = F.regexp_instr(text, F.lit("(?iU)" + p)) - 1
@@ -302,24 +335,26 @@ def loan_sources(text: Column, loan: Column) -> Column:
         first = F.array_min(F.array_compact(F.array(*starts)))
         entry = L.bind(first, lambda m: F.when(m.isNotNull(), _source(
             f"agevolazioni[].{field}", page_at(marks, m["at"]), snippet(text, m["at"], m["at"] + m["n"], radius))))
-        return F.when(used, entry)
+        return F.when(used & X.mentions(low, *parts), entry)
 
     candidates = F.array_compact(F.array(
-        quote("importo_min", (R.AMOUNT_MIN_PATTERN,), 80, loan["importo_min"].isNull()),
-        quote("importo_max", (R.AMOUNT_MAX_PATTERN,), 80, loan["importo_max"].isNull()),
-        quote("durata_mesi", R.DURATION_TEXT_PATTERNS, 80, F.col("text_duration").isNotNull()),
-        quote("preammortamento_mesi", R.GRACE_TEXT_PATTERNS, 80, F.col("text_grace").isNotNull()),
-        quote("abbuono_rate", (R.REBATE_PATTERN,), 100, loan["abbuono_rate"].isNull()),
+        quote("importo_min", (R.AMOUNT_MIN_PATTERN,), 80, AMOUNT_PARTS, loan["importo_min"].isNull()),
+        quote("importo_max", (R.AMOUNT_MAX_PATTERN,), 80, AMOUNT_PARTS, loan["importo_max"].isNull()),
+        quote("durata_mesi", R.DURATION_TEXT_PATTERNS, 80, DURATION_PARTS, F.col("text_duration").isNotNull()),
+        quote("preammortamento_mesi", R.GRACE_TEXT_PATTERNS, 80, GRACE_PARTS, F.col("text_grace").isNotNull()),
+        quote("abbuono_rate", (R.REBATE_PATTERN,), 100, REBATE_PARTS, loan["abbuono_rate"].isNull()),
     ))
     known = F.transform(loan["fonti"], L.source_signature)
     return F.filter(candidates, lambda s: ~F.array_contains(known, L.source_signature(s)))
 
 
-def economic_warnings(text: Column) -> Column:
-    """Details the text states and the reconciled record still lacks."""
+def economic_warnings(text: Column, lowered: Column | None = None) -> Column:
+    """Details the text states and the reconciled record still lacks. lowered: the text in lower case, if it is at hand."""
+    if lowered is None:
+        return L.bind(F.lower(text), lambda low: economic_warnings(text, low))
     has_rebate = F.exists("agevolazioni", lambda a: a["abbuono_rate"].isNotNull())
-    rebate = X.matches(text, R.REBATE_PATTERN) & ~has_rebate
-    cumulation = X.matches(text, R.CUMULATION_WORD_PATTERN) & (F.coalesce("cumulabilita", F.lit("")) == "")
+    rebate = ~has_rebate & X.mentions(lowered, *REBATE_PARTS) & X.matches(text, R.REBATE_PATTERN)
+    cumulation = (F.coalesce("cumulabilita", F.lit("")) == "") & X.mentions(lowered, *CUMULATION_PARTS) & X.matches(text, R.CUMULATION_WORD_PATTERN)
     return F.array_compact(F.array(
         F.when(rebate, F.lit("Completezza economica: il testo cita un abbuono ma il campo è vuoto")),
         F.when(cumulation, F.lit("Completezza economica: il testo cita il cumulo ma il campo è vuoto")),
@@ -345,9 +380,15 @@ def issuer_warning(issuer: Column, sources: Column) -> Column:
     ).when(~backed, F.concat(F.lit("Coerenza fonti: la fonte associata a ente non supporta il valore estratto “"), issuer, F.lit("”"))))
 
 
-def issuer_candidate(issuer: Column, text: Column) -> Column:
-    """Best page snippet naming the issuer in a promoting context: struct<score,page,snippet> or null."""
-    return L.bind(issuer_tokens(issuer), lambda expected: _best_snippet(issuer, expected, text))
+def issuer_candidate(issuer: Column, text: Column, lowered: Column | None = None) -> Column:
+    """Best page snippet naming the issuer in a promoting context: struct<score,page,snippet> or null. lowered: the text in lower case, if it is at hand."""
+
+    def named(expected: Column) -> Column:
+        # a page that covers the tokens holds each of them, and so does the text; most texts end here
+        holds = L.bind(X.folded(F.lower(text) if lowered is None else lowered), lambda t: F.forall(expected, lambda w: t.contains(w)))
+        return F.when(holds, _best_snippet(issuer, expected, text))
+
+    return L.bind(issuer_tokens(issuer), named)
 
 
 def _best_snippet(issuer: Column, expected: Column, text: Column) -> Column:
@@ -386,11 +427,11 @@ def _best_snippet(issuer: Column, expected: Column, text: Column) -> Column:
     return F.when(F.size(expected) > 0, found)
 
 
-def repair_issuer_source(rows: DataFrame, text: str) -> DataFrame:
+def repair_issuer_source(rows: DataFrame, text: str, lowered: Column | None = None) -> DataFrame:
     """Replaces unsupported issuer sources by strong evidence from the text; adds ``issuer_page``."""
     t, issuer = F.col(text), F.col("ente")
     needed = F.coalesce(t != "", F.lit(False)) & issuer_warning(issuer, F.col("fonti")).isNotNull()
-    found = rows.withColumn("_c", F.when(needed, issuer_candidate(issuer, t)))
+    found = rows.withColumn("_c", F.when(needed, issuer_candidate(issuer, t, lowered)))
     others = F.filter("fonti", lambda s: F.coalesce(s["campo"] != "ente", F.lit(True)))
     quote = F.array(_source("ente", F.col("_c")["page"], F.col("_c")["snippet"], "media"))
     note = F.concat(F.lit("Fonte ente: citazione incoerente sostituita con evidenza contestuale a pagina "),

@@ -131,9 +131,9 @@ def logical_warnings(as_of: datetime.date) -> Column:
     )
 
 
-def critical_gaps(text: Column | None = None) -> Column:
+def critical_gaps(text: Column | None = None, lowered: Column | None = None) -> Column:
     empty = emptiness()
-    rolling = E.rolling_window(text) if text is not None else F.lit(False)
+    rolling = E.rolling_window(text, lowered) if text is not None else F.lit(False)
     no_money = _all(*[empty[k] for k in ("contributo_max", "percentuale_fondo_perduto", "agevolazioni", "tipo_agevolazione")])
     no_sector = empty["codici_ateco_ammessi"] & ~F.col("ateco_aperto_a_tutti") & empty["attivita_ammesse"]
     return F.array_compact(F.array(
@@ -174,13 +174,15 @@ def validate(record: DataFrame, text: str, as_of: datetime.date) -> DataFrame:
     t = F.col(text)
     has_text = F.coalesce(t != "", F.lit(False))
     none = F.array().cast("array<string>")
-    r = normalise_dates(record)
+    # in lower case once: most patterns are tried only where a plain string of theirs occurs
+    r = normalise_dates(record).withColumn("_low", F.lower(t))
+    low = F.col("_low")
     missing = has_text & _blank(F.col("data_scadenza"))
-    r = r.withColumn("_inferred", F.when(missing, E.infer_deadline(t, as_of)))
+    r = r.withColumn("_inferred", F.when(missing, E.infer_deadline(t, as_of, low)))
     r = r.withColumn("data_scadenza", F.coalesce("_inferred", "data_scadenza"))
 
     r = r.withColumn("_sections", F.col("note_esclusioni")["sezioni_ateco_escluse"])
-    r = E.reconcile_sections(r, text, "_sections", "fonti")
+    r = E.reconcile_sections(r, text, "_sections", "fonti", low)
     note = F.col("note_esclusioni")
     rebuilt = F.struct(
         F.coalesce(note["lista_testuale"], F.when(note.isNull(), F.col("note_text"))).alias("lista_testuale"),
@@ -194,8 +196,8 @@ def validate(record: DataFrame, text: str, as_of: datetime.date) -> DataFrame:
             "ateco_aperto_a_tutti": F.col("ateco_aperto_a_tutti") & ~(has_text & (F.size("kept_sections") > 0)),
         }
     )
-    r = E.repair_issuer_source(r, text)
-    r = E.reconcile_economics(r, text)
+    r = E.repair_issuer_source(r, text, low)
+    r = E.reconcile_economics(r, text, low)
     inferred = F.lit("bando.data_scadenza ricavata dal testo PDF (il modello non l'aveva compilata)")
     issuer = F.when(F.col("wrapped") & F.col("has_sources"), E.issuer_warning(F.col("ente"), F.col("fonti")))
     warnings = F.concat(
@@ -203,7 +205,7 @@ def validate(record: DataFrame, text: str, as_of: datetime.date) -> DataFrame:
         F.array_compact(F.array(F.when(F.col("_inferred").isNotNull(), inferred))),
         E.section_warnings(),
         F.array_compact(F.array("issuer_notice")),
-        F.when(has_text, E.economic_warnings(t)).otherwise(none),
+        F.when(has_text, E.economic_warnings(t, low)).otherwise(none),
         F.array_compact(F.array(issuer)),
         logical_warnings(as_of),
     )
@@ -211,11 +213,11 @@ def validate(record: DataFrame, text: str, as_of: datetime.date) -> DataFrame:
         {
             "errors": F.concat(format_errors(), logical_errors()),
             "warnings": warnings,
-            "gaps": critical_gaps(t),
+            "gaps": critical_gaps(t, low),
             "null_percentage": null_percentage(),
         }
     )
-    return judge(checked).drop("_inferred", "_sections", "issuer_notice")
+    return judge(checked).drop("_inferred", "_sections", "issuer_notice", "_low")
 
 
 def route(checked: DataFrame, text: str) -> DataFrame:

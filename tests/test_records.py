@@ -2,8 +2,10 @@ import datetime
 import json
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
+from fundlens.functions import refdata as R, text as X
 from fundlens.operators import chunks, evidence, normalise, sheet, validate
 
 DAY = datetime.date(2026, 6, 1)
@@ -107,6 +109,31 @@ def test_rebate_and_cumulation(spark):
     assert "abbuono" in bare.select(evidence.economic_warnings(F.col("text"))).first()[0][0]
 
 
+def test_cumulation_clauses_are_those_of_the_plain_pattern(spark):
+    """The pattern is tried only around its core: same clauses in long texts, beyond the reach, at both ends and in odd characters."""
+    import random
+
+    rng = random.Random(2)
+    words = ["aiuti", "limiti di cumulo", "LIMITE  DI CUMULO", "non cumulabile", "non è compatibile", "cumulo", "compatibile", "non aver beneficiato di altri sostegni pubblici", ".", "è", "\U0001f600", "x" * 90]
+    texts = [" ".join(rng.choices(words, [20, 1, 1, 1, 1, 3, 3, 1, 4, 3, 3, 3], k=rng.randrange(1, 120))) for _ in range(300)]
+    texts += ["non cumulabile.", "a" * 219 + " non cumulabile.", "a" * 500 + " non cumulabile", None, "", "a" * 60_000 + " cumulo"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.squash(F.col("t")).alias("c"))
+    got = rows.select(evidence.cumulation_clause(F.col("c")).alias("a"), X.capture(F.col("c"), R.CUMULATION_PATTERN, 0).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and sum(r.a is not None for r in got) > 50
+
+
+def test_strings_before_patterns_lose_no_match(spark):
+    """Patterns take a dotless i, a Kelvin sign and a long s; the strings looked for first have none of these letters."""
+    with pytest.raises(ValueError):
+        X.mentions(F.col("t"), "importo")
+    odd = "\u0130mporto MA\u017f\u017fIMO: 7.000 euro. Ta\u017fso d\u0131 intere\u017f\u017fe zero. PREST\u0131TO con DURATA di 5 anni. Preammortamento di 6 mesi. ABBUONO ultime 3 rate. \u017fez. K e\u017fcluse."
+    r = evidence.reconcile_economics(one(spark, {"agevolazioni": [{"tipo": LOAN}]}, odd), "text").first()
+    loan = r.agevolazioni[0]
+    assert (loan.importo_max, loan.tasso_interesse_percentuale, loan.durata_mesi, loan.preammortamento_mesi, loan.abbuono_rate) == (7000.0, 0.0, 60.0, 6.0, 3.0)
+    cited = spark.createDataFrame([(odd,)], "t string").select(evidence.cited_sections(F.col("t"), F.lower("t")).alias("a"), evidence.cited_sections(F.col("t")).alias("b")).first()
+    assert cited.a == cited.b and len(cited.a) == 1
+
+
 def sections(spark, text, listed):
     rows = spark.createDataFrame([(text, listed, [])], "text string, sections array<string>, fonti array<struct<campo:string,pagina:int,testo:string,certezza:string>>")
     return evidence.reconcile_sections(rows, "text", "sections", "fonti").first()
