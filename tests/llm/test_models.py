@@ -233,6 +233,32 @@ def test_gradients():
     assert last < 0.6 * first
 
 
+def test_a_window_trains_as_a_plain_one_does():
+    """Gradients of one window from numeric differences, by the squares that the memory gains; rows of any number of a word add up."""
+    rng = np.random.default_rng(6)
+    keys, values = np.append(rng.integers(0, 40, 300), np.zeros(50, int)), rng.normal(0, 1, (350, 3)).astype(np.float32)
+    some, sums = gru._sums(values, keys)
+    assert some.tolist() == sorted(set(keys.tolist())) and np.allclose(sums, [values[keys == k].sum(axis=0) for k in some], atol=1e-4)
+    net = gru.Net.fresh(np.full(gru.WORDS // gru.IN_CLASS + gru.RARE, 0.01), np.full((gru.WORDS // gru.IN_CLASS, gru.IN_CLASS), 0.02))
+    net.flat[:] += rng.normal(0, 0.3, net.flat.shape).astype(np.float32)
+    words = rng.integers(0, 90, 20)
+    words[-1] = 0
+    streams, cls, inside = gru.Streams(words, np.array([0, 13, 17, 20]), 3), words // gru.IN_CLASS, np.where(words < 64, words % gru.IN_CLASS, -1)
+    memory, trained = np.zeros_like(net.flat), gru.Net(net.flat.copy())
+    assert gru.train(trained, memory, streams, cls, inside) > 0
+    used = np.flatnonzero(memory > 1e-2)
+    assert len(used) > 1000
+    for k in rng.choice(used, 40, replace=False):
+        ends = []
+        for step in (1e-2, -1e-2):
+            moved = net.flat.copy()
+            moved[k] += step
+            ends.append(-gru.score(gru.Net(moved), streams, cls, inside).sum())
+        slope = (ends[0] - ends[1]) / 2e-2 * gru.WINDOW / len(words)
+        assert abs(slope**2 - memory[k]) < 0.05 * memory[k] + 1e-3
+        assert np.sign(slope) == np.sign(net.flat[k] - trained.flat[k])
+
+
 def test_last_windows_train():
     """Lanes of any length: every input leaves a trace, that of a padded lane is the one it leaves alone."""
     def memory_of(*sizes):
